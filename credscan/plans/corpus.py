@@ -400,3 +400,100 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("t.path").alias("file_path"),
         F.expr(filled("t.body")).alias("content"),
     )
+
+
+# Patches by event type: (parent number, old path, new path, hunks).
+PATCHES: dict[str, tuple[tuple[int, str | None, str | None, str], ...]] = {
+    "click": ((1, "src/u{n}/config.py", "src/u{n}/config.py", """@@ -1,3 +1,4 @@
+ import os
++token = "{h}"
+-old = "{h}"
+ keep = 1
+@@ -10,2 +12,5 @@ def f():
+ def f():
++    password = "P{h}"
++    url = "https://api.example.net/v1"
+-    password = "old{h}"
++
++    api_key = getKey_{n}()
+\\ No newline at end of file
+"""),),
+    "signup": ((0, None, "src/u{n}/keys.env", """+before = "any hunk"
+ context
++AK~IA{U} before
+@@ -0,0 +1 @@
++AWS AK~IA{U}
++++x token = "{h}"
+++y token = "{x}{s}"
++secret = {h}
+"""),),
+    "view": ((1, "/srv/tests/u{n}.py", "/srv/tests/u{n}.py", """@@ -5 +5,2 @@
+ def test():
++    token = "{h}"
+"""), (1, "src/u{n}/view.js", "", """@@ -1,2 +1,3 @@
++gh~p_{h}{q}
+ function a() {
++  return "sk~_live_{h}";
+"""),),
+    "error": ((1, "src/u{n}/merge.py", "src/u{n}/merge.py", """@@ -7,3 +7,4 @@
+ a = 1
++token = "{H}"
+@@ broken header +9 @@
++pwd = "{h}"
+"""), (2, "src/u{n}/merge.py", "src/u{n}/merge.py", """@@ -1 +1,2 @@
++token = "second{h}"
+"""),),
+    "purchase": ((1, "node_modules/u{n}.js", "node_modules/u{n}.js", """@@ -1 +1 @@
++token = "{h}"
+"""), (1, "src/u{n}/logo.PNG", "src/u{n}/logo.PNG", """@@ -1 +1 @@
++token = "{h}"
+"""), (1, "src/u{n}/gone.py", "src/u{n}/gone.py", """@@ -1,2 +0,0 @@
+-token = "{h}"
+-x = 1
+"""), (1, "src/u{n}/config.py", "src/u{n}/config.py", """@@ -20,2 +20,3 @@
+
++token = "{h}"
+"""),),
+}
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One commit per event, in event order, at the event's time."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat(md5(concat('commit-', event_id)), substr(md5(concat('', event_id)), 1, 8)) AS sha",
+        "event_id AS seq",
+        "concat(event_type, ' change ', event_id, chr(10), chr(10), 'details') AS message",
+        "concat('dev', user_id) AS author_name",
+        "concat('dev', user_id, '@example.org') AS author_email",
+        "ts AS committed_at",
+    )
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sha, parent_no, a_path, b_path, patch`` of those commits."""
+
+    def text(value: str | None) -> str:
+        return "CAST(null AS string)" if value is None else quote(value)
+
+    whens = " ".join(
+        f"WHEN '{kind}' THEN array({', '.join(rows)})"
+        for kind, rows in (
+            (kind, [
+                f"named_struct('parent_no', {p}, 'a', {text(a)}, 'b', {text(b)}, 'body', {text(body)})"
+                for p, a, b, body in items
+            ])
+            for kind, items in PATCHES.items()
+        )
+    )
+    rows = table(spark, sf_dir, "events").select(
+        F.expr("concat(md5(concat('commit-', event_id)), substr(md5(concat('', event_id)), 1, 8))").alias("sha"),
+        F.expr("concat('', user_id)").alias("n"),
+        F.expr(_DIGEST.format(key="user_id")).alias("h"),
+        F.explode(F.expr(f"CASE event_type {whens} END")).alias("t"),
+    )
+    return rows.select(
+        "sha", F.col("t.parent_no").alias("parent_no"),
+        F.expr(filled("t.a")).alias("a_path"),
+        F.expr(filled("t.b")).alias("b_path"),
+        F.expr(filled("t.body")).alias("patch"),
+    )
