@@ -118,7 +118,7 @@ def balanced(examples: DataFrame, label: str = "label") -> tuple[DataFrame, int]
     return examples.select("*", weight.alias("weight")), n
 
 
-def featurizer(text: str = "text", dims: int = 1 << 16) -> list:
+def featurizer(text: str = "text", dims: int = 384) -> list:
     """Stages from text to a unit vector of hashed words. Any other embedding
     works as well: put a vector column ``features`` in its place."""
     return [
@@ -133,7 +133,8 @@ def regression(n: int, c: float = 2.0, max_iter: int = 1000) -> LogisticRegressi
     ``n`` examples of total weight ``n``."""
     return LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight",
-        regParam=1.0 / (c * n), elasticNetParam=0.0, maxIter=max_iter, standardization=False,
+        regParam=1.0 / (c * n), elasticNetParam=0.0, maxIter=max_iter, tol=1e-4,
+        standardization=False,
     )
 
 

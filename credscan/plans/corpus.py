@@ -465,7 +465,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat(event_type, ' change ', event_id, chr(10), chr(10), 'details') AS message",
         "concat('dev', user_id) AS author_name",
         "concat('dev', user_id, '@example.org') AS author_email",
-        "ts AS committed_at",
+        "CAST(ts AS timestamp) AS committed_at",
     )
 
 

@@ -165,7 +165,7 @@ def charset_flags(spark, sf_dir):
 
     return w.select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"),
-        count(E.is_high_entropy).alias("n_high_entropy"),
+        count(lambda w: E.is_high_entropy(w)).alias("n_high_entropy"),
         count(E.looks_like_base64).alias("n_base64"),
         count(E.looks_like_hex).alias("n_hex"),
     )
@@ -248,7 +248,7 @@ def _examples(spark, sf_dir):
     """Labelled texts: the quality flag of the labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(documents.join(labels, "doc_id"))
+    return documents.join(labels, "doc_id")
 
 
 @query
