@@ -53,7 +53,7 @@ def block_marks(lines: Column) -> Column:
                    .when(starts_with_any(s, BLOCK_OPENERS), "S").otherwise("."))
 
     def below(line: Column) -> Column:
-        return F.when(starts_with_any(strip(line), BLOCK_ENDERS), "E").otherwise(".")
+        return let(strip(line), lambda s: F.when(starts_with_any(s, BLOCK_ENDERS), "E").otherwise("."))
 
     return F.struct(
         F.array_join(F.transform(lines, above), "").alias("above"),

@@ -135,20 +135,20 @@ def has_function_call(line: Column) -> Column:
     return line.rlike(CALL)
 
 
-def is_variable_assignment(line: Column) -> Column:
-    return let(strip(line), lambda s: s.rlike(REFERENCE) & ~s.rlike(LITERAL_RIGHT_SIDE))
+def is_variable_assignment(stripped: Column) -> Column:
+    return stripped.rlike(REFERENCE) & ~stripped.rlike(LITERAL_RIGHT_SIDE)
 
 
-def has_null_value(line: Column) -> Column:
-    return strip(F.regexp_extract(strip(line), RIGHT_SIDE, 1)).rlike(NULL_WORD)
+def has_null_value(stripped: Column) -> Column:
+    return strip(F.regexp_extract(stripped, RIGHT_SIDE, 1)).rlike(NULL_WORD)
 
 
 def is_css_selector(line: Column) -> Column:
     return line.rlike("(?d)" + any_of(CSS_SHAPES))
 
 
-def is_commented_out(line: Column) -> Column:
-    return starts_with_any(strip(line), COMMENT_MARKS)
+def is_commented_out(stripped: Column) -> Column:
+    return starts_with_any(stripped, COMMENT_MARKS)
 
 
 def has_cloud_word(line: Column) -> Column:
@@ -192,18 +192,22 @@ def value_verdict(values: Column) -> Column:
 
 def line_facts(line: Column) -> Column:
     """Everything the rules need to know about a line, as one struct."""
-    return F.struct(
-        has_function_call(line).alias("function_call"),
-        is_variable_assignment(line).alias("variable_assignment"),
-        has_null_value(line).alias("null_value"),
-        is_css_selector(line).alias("css_selector"),
-        is_commented_out(line).alias("commented_out"),
-        has_cloud_word(line).alias("cloud_word"),
-        line.rlike(QUOTED).alias("has_quoted"),
-        any_numeric(quoted(line)).alias("numeric"),
-        any_weak(quoted(line)).alias("weak"),
-        value_verdict(quoted(line, QUOTED_NONEMPTY)).alias("verdict"),
-    )
+
+    def facts(stripped: Column, values: Column) -> Column:
+        return F.struct(
+            has_function_call(line).alias("function_call"),
+            is_variable_assignment(stripped).alias("variable_assignment"),
+            has_null_value(stripped).alias("null_value"),
+            is_css_selector(line).alias("css_selector"),
+            is_commented_out(stripped).alias("commented_out"),
+            has_cloud_word(line).alias("cloud_word"),
+            (F.size(values) > 0).alias("has_quoted"),
+            any_numeric(values).alias("numeric"),
+            any_weak(values).alias("weak"),
+            value_verdict(quoted(line, QUOTED_NONEMPTY)).alias("verdict"),
+        )
+
+    return let(strip(line), lambda s: let(quoted(line), lambda values: facts(s, values)))
 
 
 # --- tests on the match -----------------------------------------------------
@@ -211,20 +215,25 @@ def line_facts(line: Column) -> Column:
 def secret_facts(secret: Column, facts: Column) -> Column:
     """Tests on the matched text. Quoted values are those of the match; when it
     has none, those of the line."""
-    own = secret.rlike(QUOTED)
-    own_nonempty = secret.rlike(QUOTED_NONEMPTY)
-    return F.struct(
-        F.when(own, any_numeric(quoted(secret)))
-        .when(facts["has_quoted"], facts["numeric"])
-        .otherwise(is_number(unquoted(secret))).alias("numeric_only"),
-        unquoted(secret).rlike("(?iud)" + any_of(PLACEHOLDER_SHAPES)).alias("placeholder"),
-        (F.length(unquoted(secret)) >= 12).alias("long"),
-        strip(secret).isin('""', "''", "").alias("empty"),
-        F.when(own_nonempty, value_verdict(quoted(secret, QUOTED_NONEMPTY)))
-        .otherwise(facts["verdict"]).alias("verdict"),
-        ((F.length(secret) < 30) & ~facts["cloud_word"]).alias("no_cloud_api"),
-        F.when(own, any_weak(quoted(secret))).otherwise(facts["weak"]).alias("weak_password"),
-    )
+
+    def own(bare: Column, values: Column, nonempty: Column) -> Column:
+        has_own = F.size(values) > 0
+        return F.struct(
+            F.when(has_own, any_numeric(values))
+            .when(facts["has_quoted"], facts["numeric"])
+            .otherwise(is_number(bare)).alias("numeric_only"),
+            bare.rlike("(?iud)" + any_of(PLACEHOLDER_SHAPES)).alias("placeholder"),
+            (F.length(bare) >= 12).alias("long"),
+            strip(secret).isin('""', "''", "").alias("empty"),
+            F.when(F.size(nonempty) > 0, value_verdict(nonempty))
+            .otherwise(facts["verdict"]).alias("verdict"),
+            ((F.length(secret) < 30) & ~facts["cloud_word"]).alias("no_cloud_api"),
+            F.when(has_own, any_weak(values)).otherwise(facts["weak"]).alias("weak_password"),
+        )
+
+    return let(unquoted(secret), lambda bare:
+               let(quoted(secret), lambda values:
+                   let(quoted(secret, QUOTED_NONEMPTY), lambda nonempty: own(bare, values, nonempty))))
 
 
 @dataclass(frozen=True)
@@ -276,11 +285,12 @@ def line_vetoed(facts: Column) -> Column:
 
 
 def total_penalty(fired: list[Flag]) -> Column:
-    total = F.lit("0.00").cast("decimal(6,2)")
+    """Sum of penalties, at most 1, as an exact decimal; added in hundredths."""
+    hundredths = F.lit(0)
     for f in fired:
-        total = total + F.when(f.fired, F.lit(f.penalty).cast("decimal(3,2)")).otherwise(
-            F.lit("0.00").cast("decimal(3,2)"))
-    return F.least(total.cast("decimal(6,2)"), F.lit("1.00").cast("decimal(6,2)")).cast("decimal(3,2)")
+        hundredths = hundredths + F.when(f.fired, round(float(f.penalty) * 100)).otherwise(0)
+    capped = F.least(hundredths, F.lit(100)).cast("decimal(3,0)")
+    return (capped * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(3,2)")
 
 
 def suppression(fired: list[Flag]) -> Column:

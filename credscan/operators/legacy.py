@@ -50,8 +50,8 @@ def rule_findings(df: DataFrame, text: str = "content", keep: tuple[str, ...] =
 def _run_lines_sql(lines: str) -> str:
     """Array of ``(line_no, line, runs)`` for the lines with long runs of
     token-like characters, comments and data URIs left out."""
-    trimmed = f"btrim(line, {quote(WS_CHARS)})"
-    comment = " OR ".join(f"startswith({trimmed}, {quote(m)})" for m in COMMENT_MARKS)
+    marks = " OR ".join(f"startswith(s, {quote(m)})" for m in COMMENT_MARKS)
+    comment = f"exists(array(btrim(line, {quote(WS_CHARS)})), s -> {marks})"
     runs = (
         f"filter(regexp_extract_all(line, {quote(RUN)}, 0), "
         "run -> size(array_distinct(split(run, ''))) > 4)"

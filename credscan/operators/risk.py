@@ -65,6 +65,8 @@ def _scores(
 
     def with_penalties(l2: Column, own: Column) -> Column:
         def total(on: bool) -> Column:
+            if not any(c.l4 and c.l2 == on for c in configurations):
+                return S.dec("0.00")
             return P.total_penalty(
                 P.flags(in_tests, in_docs, facts, own, l2["transition"], F.lit(on))
             )

@@ -92,6 +92,7 @@ def _without_vetoed(entropy_on: bool) -> Column:
                 F.when(P.line_vetoed(facts), F.array().cast(MATCH_TYPE)).otherwise(
                     F.filter(hit["matches"], lambda m: ~_vetoed(m["secret"], facts, entropy_on))
                 ).alias("matches"),
+                facts.alias("facts"),
             ),
         )
 
@@ -101,8 +102,8 @@ def _without_vetoed(entropy_on: bool) -> Column:
 
 
 @cache
-def _with_verdicts(classify=classify_group) -> Column:
-    """Hit lines with the classifier's verdict on the block around each.
+def _with_verdicts(with_facts: bool) -> Column:
+    """Hit lines with the classifier's verdict ``l3`` on the block around each.
 
     Lines of one block share its verdict, which is worked out once however
     many hits the block has.
@@ -110,13 +111,11 @@ def _with_verdicts(classify=classify_group) -> Column:
     lines, hits = F.col("lines"), F.col("hits")
 
     def attach(bounds: Column, blocks: Column, verdicts: Column) -> Column:
+        facts = ["facts"] if with_facts else []
         return F.transform(
             hits,
             lambda hit, i: F.struct(
-                hit["line_no"].alias("line_no"),
-                hit["at"].alias("at"),
-                hit["line"].alias("line"),
-                hit["matches"].alias("matches"),
+                *[hit[c].alias(c) for c in ("line_no", "at", "line", "matches", *facts)],
                 F.get(verdicts, (F.array_position(blocks, F.get(bounds, i)) - 1).cast("int")).alias("l3"),
             ),
         )
@@ -126,7 +125,7 @@ def _with_verdicts(classify=classify_group) -> Column:
         let(block_marks(lines), lambda marks:
             let(F.transform(hits, lambda hit: block_bounds(marks, hit["line_no"])), lambda bounds:
                 let(F.array_distinct(bounds), lambda blocks:
-                    let(F.transform(blocks, lambda b: classify(string_group(block_text(lines, b)))),
+                    let(F.transform(blocks, lambda b: classify_group(string_group(block_text(lines, b)))),
                         lambda verdicts: attach(bounds, blocks, verdicts))))),
     )
 
@@ -152,7 +151,7 @@ def hit_arrays(
     if drop_vetoed:
         staged = staged.select(*keep, "lines", _without_vetoed(layers.l2).alias("hits"))
     if layers.l3:
-        staged = staged.select(*keep, _with_verdicts().alias("hits"))
+        staged = staged.select(*keep, _with_verdicts(drop_vetoed).alias("hits"))
     return staged
 
 
@@ -169,7 +168,9 @@ def hit_rows(
     (verdict on the block), ``rule_ord``, ``match_ord``, ``secret``."""
     by_line = explode_late(hit_arrays(df, keep, lines, layers, drop_vetoed, at), "hits", "hit", *keep)
     l3 = F.col("hit.l3") if layers.l3 else F.lit(None)
-    facts = _hit_line_facts() if layers.l4 else F.lit(None)
+    facts = F.lit(None)
+    if layers.l4:
+        facts = F.col("hit.facts") if drop_vetoed else _hit_line_facts()
     cols = (*keep, "line_no", "at", "line", "l3", "facts")
     return (
         by_line.select(
@@ -297,7 +298,19 @@ def report(
     drop = layers.l4 and threshold > GATED_MAX_SCORE
     rows = hit_rows(prepared(df, text, path), cols, candidate_lines_sql(text), layers, drop)
     found = scored(features(rows, cols, layers), cols, layers)
-    return found.drop("at").where(F.col("combined_score") >= threshold)
+    return at_least(found.drop("at"), threshold)
+
+
+def at_least(findings: DataFrame, threshold: float) -> DataFrame:
+    """Findings with that score or more.
+
+    The test sits in a one-element array instead of a filter: the optimizer
+    would push a filter down by substitution and so compute every layer of
+    every finding once more for each mention of its result.
+    """
+    one = F.filter(F.array(F.struct("*")), lambda f: f["combined_score"] >= threshold)
+    kept = findings.select(F.explode_outer(one).alias("f")).where(F.col("f").isNotNull())
+    return kept.select("f.*")
 
 
 ORDER = ("file_path", "line_no", "rule_ord", "match_ord")
@@ -305,5 +318,9 @@ ORDER = ("file_path", "line_no", "rule_ord", "match_ord")
 
 def ranked(findings: DataFrame) -> DataFrame:
     """Highest score first; then in reading order, which a stable sort of
-    findings collected file by file would give."""
-    return findings.orderBy(F.desc("combined_score"), *ORDER)
+    findings collected file by file would give.
+
+    A global sort first samples its input. The findings are exchanged before
+    that, so the sample reads shuffled findings and the texts are scanned once.
+    """
+    return findings.repartition(*[F.col(c) for c in ORDER]).orderBy(F.desc("combined_score"), *ORDER)

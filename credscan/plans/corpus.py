@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credscan.functions.sqltext import quote
+from credscan.sources.layout import spread
 
 # (template number, path, content)
 FILES: tuple[tuple[int, str, str], ...] = (
@@ -341,7 +342,7 @@ def filled(column: str) -> str:
 def keyed(keys: DataFrame, key: str, templates: str) -> DataFrame:
     """Every row of ``keys`` with every template of a constant array: a fixed
     fan-out inside the row, no join."""
-    return keys.select(
+    return spread(keys).select(
         F.col(key).cast("bigint").alias("k"),
         F.expr(f"concat('', {key})").alias("n"),
         F.expr(_DIGEST.format(key=key)).alias("h"),
@@ -374,7 +375,7 @@ def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplied documents as source files, and the planted files."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.expr("concat('src/', source, '/', lang, '_', doc_id, '.py')").alias("file_path"),
         F.col("text").alias("content"),
@@ -485,7 +486,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
             for kind, items in PATCHES.items()
         )
     )
-    rows = table(spark, sf_dir, "events").select(
+    rows = spread(table(spark, sf_dir, "events")).select(
         F.expr("concat(md5(concat('commit-', event_id)), substr(md5(concat('', event_id)), 1, 8))").alias("sha"),
         F.expr("concat('', user_id)").alias("n"),
         F.expr(_DIGEST.format(key="user_id")).alias("h"),
