@@ -99,7 +99,7 @@ cte("patch", f"""SELECT sha, parent_no, {filled('a')} AS a_path, {filled('b')} A
 
 # --- lines, matches ---------------------------------------------------------
 
-_LINES = """SELECT doc_id, file_path, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (
+_LINES = """SELECT doc_id, file_path, unnest(l) AS line, generate_subscripts(l, 1)::INTEGER AS line_no FROM (
     SELECT doc_id, file_path, CASE WHEN p[len(p)] = '' THEN list_slice(p, 1, len(p) - 1) ELSE p END AS l
     FROM (SELECT doc_id, file_path, regexp_split_to_array(content, {lb}) AS p FROM {source}))"""
 
@@ -108,7 +108,7 @@ def matches_sql(lines: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT doc_id, file_path, line_no, line, {i} AS rule_ord, {q(r.rule_id)} AS rule_id, {r.tier} AS tier,
         {float({1: 1.0, 2: 0.7, 3: 0.4}[r.tier])}::DOUBLE AS regex_score,
-        unnest(f) AS secret, generate_subscripts(f, 1) - 1 AS match_ord FROM (
+        unnest(f) AS secret, (generate_subscripts(f, 1) - 1)::INTEGER AS match_ord FROM (
         SELECT *, list_filter(regexp_extract_all(line, {q('(?i)' + r.pattern)}), lambda s: length(s) >= {r.min_length}) AS f
         FROM {lines}) WHERE len(f) > 0"""
         for i, r in enumerate(RULES)
@@ -167,7 +167,7 @@ def group_cte(lines: str, hits: str) -> str:
       array_to_string(list_slice(a.ls, first_line, last_line), chr(10)) AS context
     FROM (SELECT *, coalesce(greatest(s, b + 1), line_no) AS first_line,
       coalesce(e - 1, n) AS last_line FROM (
-      SELECT doc_id, line_no, count(*) OVER (PARTITION BY doc_id) AS n,
+      SELECT doc_id, line_no, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS n,
       max(CASE WHEN {starts(_trim, G.BLOCK_OPENERS)} THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS s,
       max(CASE WHEN {_trim} = '' THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no
         ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS b,
@@ -349,7 +349,7 @@ cte("entropy_hits", f"""SELECT doc_id, line_no, rule_id, match_ord, secret, desc
     CASE WHEN length({_trim}) > 180 THEN concat(substr({_trim}, 1, 180), '...') ELSE {_trim} END AS shown
     FROM (SELECT *, {bits('secret')} AS b, {_near} AS near_ FROM (
       SELECT *, instr(line, secret) - 1 AS at_ FROM (
-        SELECT doc_id, file_path, line_no, line, unnest(f) AS secret, generate_subscripts(f, 1) - 1 AS match_ord FROM (
+        SELECT doc_id, file_path, line_no, line, unnest(f) AS secret, (generate_subscripts(f, 1) - 1)::INTEGER AS match_ord FROM (
           SELECT *, list_filter(regexp_extract_all(line, {q(_RUN)}), lambda r: len(list_distinct(string_split(r, ''))) > 4) AS f
           FROM lines WHERE NOT {starts(_trim, L.COMMENT_MARKS)} AND NOT {like('line', L.DATA_URI)}
           AND NOT {like('lower(file_path)', paths.ENTROPY_SKIP)}) WHERE len(f) > 0)
