@@ -8,6 +8,7 @@ classified inside the row that holds the text, once per distinct block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -301,18 +302,23 @@ def report(
     return at_least(found.drop("at"), threshold)
 
 
-def at_least(findings: DataFrame, threshold: float) -> DataFrame:
-    """Findings with that score or more.
+def keep_rows(df: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """Rows that pass a test of costly computed columns.
 
     The test sits in a one-element array instead of a filter: the optimizer
     would push a filter down by substitution and so compute every layer of
     every finding once more for each mention of its result.
     """
-    one = F.filter(F.array(F.struct("*")), lambda f: f["combined_score"] >= threshold)
-    kept = findings.select(F.explode_outer(one).alias("f")).where(F.col("f").isNotNull())
+    one = F.filter(F.array(F.struct("*")), test)
+    kept = df.select(F.explode_outer(one).alias("f")).where(F.col("f").isNotNull())
     return kept.select("f.*")
 
 
+def at_least(findings: DataFrame, threshold: float) -> DataFrame:
+    """Findings with that score or more."""
+    return keep_rows(findings, lambda f: f["combined_score"] >= threshold)
+
+
 ORDER = ("file_path", "line_no", "rule_ord", "match_ord")
 
 

@@ -324,12 +324,13 @@ def fp_flags(spark, sf_dir):
 
 @query
 def suppressed_findings(spark, sf_dir):
-    return _features(spark, sf_dir).select("*", scan.rule_column("rule_id")).select(
+    rows = _features(spark, sf_dir).select("*", scan.rule_column("rule_id")).select(
         *MATCH, F.array_join("l4.rules_fired", ",").alias("rules_fired"),
         F.col("l4.total_penalty").cast("double").alias("total_penalty"),
         F.col("l4.suppressed").alias("suppressed"),
         F.col("l4.suppressor_score").cast("double").alias("suppressor_score"),
-    ).where("suppressed")
+    )
+    return scan.keep_rows(rows, lambda r: r["suppressed"])
 
 
 # --- scores -----------------------------------------------------------------
