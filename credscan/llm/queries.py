@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credscan.llm import language, near_dup, packing
+from credscan.llm import contamination, language, line_dedup, near_dup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language.remainder(F.col("doc_id"), 3) == 1
@@ -37,7 +47,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
@@ -63,4 +75,14 @@ c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
 d AS (SELECT s.doc_id, len(s.s) AS n, coalesce(c.root, s.doc_id) AS root
       FROM s LEFT JOIN t ON t.sorted = list_sort(s.s) LEFT JOIN c ON c.node = t.rep)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM d""",
+    "op5_benchmark_decontamination": r"""
+WITH w AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+v AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM w),
+s AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM v),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_item_shingles, count(*) AS n_shared, count(*) / n.n AS containment
+FROM s d JOIN s i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n.n HAVING 5 * count(*) >= 4 * n.n""",
 }
