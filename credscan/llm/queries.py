@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credscan.llm import contamination, interpolation, language, line_dedup, near_dup, packing
+from credscan.llm import (
+    chat, contamination, divergence, interpolation, language, line_dedup, near_dup, packing, pages, token_counts,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item_shingles", "n_shared", "containment")
@@ -50,13 +56,31 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.piece_counts(F.col("text"), tokenizer()).alias("counts")
+    return table(spark, sf_dir, "documents").select("doc_id", counts).select("doc_id", "counts.*")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judged(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.repaired(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "place", "turn", "role", "action", "rendered")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: Words as the contracts define them, A-Z lowered.
