@@ -29,6 +29,7 @@ KNOWN_PLACEHOLDERS = (
     r"^mock[-_]?(key|token|secret|password)",
     rf"^password[{DIGIT}]*$",
     rf"^(abc|abcdef|abcdefgh)[{DIGIT}]*$",
+    r"^replace[-_]?me[-_]?with[-_]?(key|token|secret)",
 )
 KNOWN_PLACEHOLDER = "|".join(f"(?:{p})" for p in KNOWN_PLACEHOLDERS)
 

@@ -64,7 +64,7 @@ WEAK_PREFIXES = ("django-insecure", "django-secret", "dev-secret", "local-secret
 
 # Fixed values.
 CLOUD_WORDS = (
-    "api\\.", "\\.amazonaws\\.com", "googleapi", "stripe\\.com",
+    r"api\.", r"\.amazonaws\.com", "googleapi", r"stripe\.com",
     "azure", "twilio", "heroku", "auth0", "firebase",
 )
 TEST_PATHS = (

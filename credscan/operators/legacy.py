@@ -3,7 +3,9 @@ high-entropy strings near a credential word."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credscan.functions.entropy import (
@@ -14,8 +16,8 @@ from credscan.functions.entropy import (
 from credscan.functions.sqltext import contains_any_sql, quote
 from credscan.functions.text import WS_CHARS, let, split_lines_sql, starts_with_any, strip
 from credscan.operators.matches import candidate_sql, explode_late, matches, rule_column
+from credscan.operators.scan import keep_rows
 from credscan.rules import HIGH_ENTROPY_RULE
-from credscan.sources.layout import spread
 from credscan.sources.paths import is_binary_file, skipped_by_entropy
 
 # Fixed values.
@@ -63,6 +65,10 @@ def _run_lines_sql(lines: str) -> str:
     )
 
 
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+
+
 def high_entropy_findings(
     df: DataFrame, text: str = "content", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
@@ -83,22 +89,21 @@ def high_entropy_findings(
     at = F.instr(F.col("line"), F.col("secret")) - 1
     first = F.greatest(at - WINDOW, F.lit(0))
     last = F.least(F.length("line"), at + F.length("secret") + WINDOW)
-    near = runs.select(
-        "*", F.substring(F.lower("line"), first + 1, last - first).alias("near")
-    ).where(
-        F.expr(contains_any_sql("near", CONTEXT_WORDS))
-        & ~F.expr(contains_any_sql("near", NEGATIVE_WORDS))
+    near = keep_rows(
+        runs.select("*", F.substring(F.lower("line"), first + 1, last - first).alias("near")),
+        lambda f: let(f["near"], lambda s: _any(s, CONTEXT_WORDS) & ~_any(s, NEGATIVE_WORDS)),
+    )
+    rated = keep_rows(
+        near.select(*cols, "line_no", "line", "match_ord", "secret", shannon_entropy(F.col("secret")).alias("bits")),
+        lambda f: f["bits"] >= HIGH_ENTROPY_THRESHOLD,
     )
-    rated = near.select(
-        *cols, "line_no", "line", "match_ord", "secret", shannon_entropy(F.col("secret")).alias("bits")
-    ).where(F.col("bits") >= HIGH_ENTROPY_THRESHOLD)
     return rated.select(
         *cols, "line_no",
         F.lit(HIGH_ENTROPY_RULE).alias("rule_id"),
         F.concat(
             F.lit("High entropy string (score: "),
             F.round("bits", 2).cast("decimal(6,2)").cast("string"),
-            F.lit(f") {chr(0x2014)} possible secret"),
+            F.lit(") — possible secret"),
         ).alias("description"),
         "match_ord", "secret",
         let(strip(F.col("line")), lambda s: F.when(
@@ -112,6 +117,6 @@ def detect(
     df: DataFrame, text: str = "content", path: str = "file_path", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Both detectors over the files that do not look binary."""
-    files = spread(df).withColumn("file_path", F.coalesce(F.col(path), F.lit("")))
+    files = df.withColumn("file_path", F.coalesce(F.col(path), F.lit("")))
     files = files.where(~is_binary_file(F.col("file_path")))
     return rule_findings(files, text, keep).unionByName(high_entropy_findings(files, text, keep))

@@ -119,6 +119,19 @@ def matches(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     )
 
 
+def matches_per_rule(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per text and rule: its matches ``n`` and the ``lines`` that have one, counted in the text's row."""
+    lines = df.select(*keep, F.expr(candidate_lines_sql(text)).alias("lines"))
+    hits = lines.select(*keep, F.expr(hit_lines_sql("lines")).alias("hits"))
+    found = hits.select(*keep, F.expr("flatten(transform(hits, h -> h.matches))").alias("found"))
+    per_rule = found.select(*keep, F.expr("""
+        transform(array_distinct(transform(found, m -> m.rule_ord)), r -> struct(
+            r AS rule_ord, cast(size(filter(found, m -> m.rule_ord = r)) as bigint) AS n,
+            cast(size(filter(found, m -> m.rule_ord = r AND m.match_ord = 0)) as bigint) AS lines))""").alias("rules"))
+    rows = explode_late(per_rule, "rules", "r", *keep)
+    return rows.select(*keep, rule_column("rule_id", "r.rule_ord"), "r.n", "r.lines")
+
+
 def tiered(found: DataFrame) -> DataFrame:
     """Adds the confidence tier and its weight to matches."""
     return found.select("*", rule_column("tier"), rule_column("regex_score"))

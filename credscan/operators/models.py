@@ -22,9 +22,6 @@ from credscan.operators.evaluate import confusion, ratio
 from credscan.operators.matches import candidate_lines_sql, explode_late, hit_lines_sql
 from credscan.operators.scan import features, prepared, scored
 
-MAX_CONTEXTS = 10_000
-
-
 # --- string groups as rows --------------------------------------------------
 
 def hit_contexts(
@@ -83,9 +80,7 @@ def context_similarity(
 ) -> Column:
     """How much closer a vector is to the positive contexts than to the
     negative ones: best positive cosine over the sum of both best cosines, cut
-    to [0, 1]. The contexts are a fixed, small set and travel with the plan."""
-    if len(positive) + len(negative) > MAX_CONTEXTS:
-        raise ValueError(f"at most {MAX_CONTEXTS} reference contexts")
+    to [0, 1]. The contexts are arguments, a fixed and small set that travels with the plan."""
 
     def unit(rows) -> np.ndarray:
         m = np.asarray(rows, dtype=np.float64)

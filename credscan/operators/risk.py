@@ -149,18 +149,19 @@ def risk(
 def risk_by_configuration(
     df: DataFrame, text: str = "content", path: str | None = "file_path",
     keep: tuple[str, ...] = ("doc_id",),
+    configurations: tuple[tuple[str, Layers], ...] = CONFIGURATIONS,
 ) -> DataFrame:
-    """Highest score of every text under each of the seven configurations."""
-    configurations = tuple(layers for _, layers in CONFIGURATIONS)
-    scored = match_scores(prepared(df, text, path), (*keep, "file_path"), candidate_lines_sql(text), configurations)
+    """Highest score of every text under each configuration, the seven published ones by default."""
+    layered = tuple(layers for _, layers in configurations)
+    scored = match_scores(prepared(df, text, path), (*keep, "file_path"), candidate_lines_sql(text), layered)
 
     def best(i: int) -> Column:
         return F.coalesce(F.array_max(F.transform("found", lambda f: f["scores"][i])), F.lit(0.0))
 
-    maxima = scored.select(*keep, F.array(*[best(i) for i in range(len(CONFIGURATIONS))]).alias("best"))
+    maxima = scored.select(*keep, F.array(*[best(i) for i in range(len(configurations))]).alias("best"))
     return maxima.select(*keep, F.explode(F.array(*[
         F.struct(F.lit(name).alias("config"), F.get("best", F.lit(i)).alias("score"))
-        for i, (name, _) in enumerate(CONFIGURATIONS)
+        for i, (name, _) in enumerate(configurations)
     ])).alias("c")).select(*keep, "c.config", "c.score")
 
 

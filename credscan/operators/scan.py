@@ -29,7 +29,6 @@ from credscan.operators.matches import (
     rule_column,
 )
 from credscan.rules import DEFAULT_THRESHOLD, GATED_MAX_SCORE
-from credscan.sources.layout import spread
 
 
 @dataclass(frozen=True)
@@ -263,9 +262,9 @@ def finish(flat: DataFrame) -> DataFrame:
 
 
 def prepared(df: DataFrame, text: str, path: str | None) -> DataFrame:
-    """Input with a non-null ``file_path``, spread over the cluster."""
+    """Input with a non-null ``file_path``."""
     located = F.coalesce(F.col(path), F.lit("")) if path else F.lit("<snippet>")
-    return spread(df).withColumn("file_path", located)
+    return df.withColumn("file_path", located)
 
 
 def scan(

@@ -234,86 +234,86 @@ fake_token = "{h}"
     (24, "docs/empty_{n}", ""),
 )
 
-# Labelled scenarios: (number, category, is_secret, description, path, code).
+# Labelled scenarios: (number, category, is_secret, path, code).
 # Categories and labels follow the published scenario list; the code is ours.
-SCENARIOS: tuple[tuple[int, str, bool, str, str, str], ...] = (
-    (1, "A", True, "AWS access key", "src/a.py", "AK~IA{U}"),
-    (2, "A", True, "AWS access key, variant", "src/a.py", "id AK~IA{U}"),
-    (3, "A", True, "Stripe secret key", "src/a.py", "sk~_live_{x}"),
-    (4, "A", True, "Stripe restricted key", "src/a.py", "rk~_live_{x}"),
-    (5, "A", True, "Google API key", "src/a.py", "AI~za{h}xyz"),
-    (6, "A", True, "Google OAuth access token", "src/a.py", "ya~29.{h}"),
-    (7, "A", True, "GitHub personal token", "src/a.py", "gh~p_{h}{q}"),
-    (8, "A", True, "GitHub server token", "src/a.py", "gh~s_{h}{q}"),
-    (9, "A", True, "Slack bot token", "src/a.py", "xo~xb-{d}-{d}-{x}"),
-    (10, "A", True, "Square access token", "src/a.py", "sq~0atp-{U}"),
-    (11, "A", True, "Square OAuth secret", "src/a.py", "sq~0csp-{h}"),
-    (12, "A", True, "Facebook access token", "src/a.py", "EA~ACEdEose0cBA{h}"),
-    (13, "A", True, "Braintree token", "src/a.py", "access~_token$production${U}${h}"),
-    (14, "A", True, "Amazon MWS token", "src/a.py", "amzn~.mws.{s}-{q}-{q}-{q}-{t}"),
-    (15, "A", True, "RSA key header", "src/a.pem", "-----BEGIN ~RSA PRIVATE KEY-----"),
-    (16, "A", True, "OpenSSH key header", "src/a.pem", "-----BEGIN ~OPENSSH PRIVATE KEY-----"),
-    (17, "A", True, "EC key header", "src/a.pem", "-----BEGIN ~EC PRIVATE KEY-----"),
-    (18, "A", True, "PGP key header", "src/a.pem", "-----BEGIN ~PGP PRIVATE KEY BLOCK-----"),
-    (19, "B", True, "API key assignment", "src/b.py",
+SCENARIOS: tuple[tuple[int, str, bool, str, str], ...] = (
+    (1, "A", True, "src/a.py", "AK~IA{U}"),
+    (2, "A", True, "src/a.py", "id AK~IA{U}"),
+    (3, "A", True, "src/a.py", "sk~_live_{x}"),
+    (4, "A", True, "src/a.py", "rk~_live_{x}"),
+    (5, "A", True, "src/a.py", "AI~za{h}xyz"),
+    (6, "A", True, "src/a.py", "ya~29.{h}"),
+    (7, "A", True, "src/a.py", "gh~p_{h}{q}"),
+    (8, "A", True, "src/a.py", "gh~s_{h}{q}"),
+    (9, "A", True, "src/a.py", "xo~xb-{d}-{d}-{x}"),
+    (10, "A", True, "src/a.py", "sq~0atp-{U}"),
+    (11, "A", True, "src/a.py", "sq~0csp-{h}"),
+    (12, "A", True, "src/a.py", "EA~ACEdEose0cBA{h}"),
+    (13, "A", True, "src/a.py", "access~_token$production${U}${h}"),
+    (14, "A", True, "src/a.py", "amzn~.mws.{s}-{q}-{q}-{q}-{t}"),
+    (15, "A", True, "src/a.pem", "-----BEGIN ~RSA PRIVATE KEY-----"),
+    (16, "A", True, "src/a.pem", "-----BEGIN ~OPENSSH PRIVATE KEY-----"),
+    (17, "A", True, "src/a.pem", "-----BEGIN ~EC PRIVATE KEY-----"),
+    (18, "A", True, "src/a.pem", "-----BEGIN ~PGP PRIVATE KEY BLOCK-----"),
+    (19, "B", True, "src/b.py",
      "def pay():\n    api_key = \"k{h}\"\n    post(\"https://api.stripe.com/v1/charges\")"),
-    (20, "B", True, "Password assignment", "src/b.py", "password = \"Pq9{h}\""),
-    (21, "B", True, "JWT assignment", "src/b.py", "token = \"ey~J{h}.ey~J{x}.{h}\""),
-    (22, "B", True, "AWS secret value", "src/b.py", "aws_secret_access_key = \"{h}{s}\""),
-    (23, "B", True, "Database password", "src/b.py", "db_password = \"w{h}\"\nhost = \"db.internal\""),
-    (24, "B", True, "OAuth client secret", "src/b.py", "client_secret = \"c{h}\""),
-    (25, "B", True, "Bearer token", "src/b.py", "auth_token = \"Bearer {h}.{h}\""),
-    (26, "C", True, "Names lost, literals kept", "src/c.java", "String a = \"{h}\";"),
-    (27, "C", True, "AWS key, names lost", "src/c.java",
+    (20, "B", True, "src/b.py", "password = \"Pq9{h}\""),
+    (21, "B", True, "src/b.py", "token = \"ey~J{h}.ey~J{x}.{h}\""),
+    (22, "B", True, "src/b.py", "aws_secret_access_key = \"{h}{s}\""),
+    (23, "B", True, "src/b.py", "db_password = \"w{h}\"\nhost = \"db.internal\""),
+    (24, "B", True, "src/b.py", "client_secret = \"c{h}\""),
+    (25, "B", True, "src/b.py", "auth_token = \"Bearer {h}.{h}\""),
+    (26, "C", True, "src/c.java", "String a = \"{h}\";"),
+    (27, "C", True, "src/c.java",
      "x = \"AK~IA{U}\"\ny = \"https://s3.amazonaws.com/private\""),
-    (28, "C", True, "GitHub token in pieces", "src/c.java", "a = \"gh~p\" + \"_{h}{q}\";"),
-    (29, "C", True, "Stripe key in pieces", "src/c.java", "b = \"sk~_live\" + \"_{x}\";"),
-    (30, "C", True, "Connection string", "src/c.java", "c = \"postgresql://u:{s}@db/prod\";"),
-    (31, "D1", False, "getPassword()", "src/d.py", "password = getPassword{n}()"),
-    (32, "D1", False, "config.get()", "src/d.py", "secret = config.get(\"name\")"),
-    (33, "D1", False, "headers.get()", "src/d.py", "token = headers.get(\"Authorization\")"),
-    (34, "D1", False, "vault.read_secret()", "src/d.py", "secret = vault.read_secret(path_{n})"),
-    (35, "D1", False, "bcrypt.hashpw()", "src/d.py", "password = bcrypt.hashpw(pw, salt)"),
-    (36, "D2", False, "ui.password", "src/d.py", "password = ui.password_{n}"),
-    (37, "D2", False, "self.config.api_key", "src/d.py", "api_key = self.config.api_key"),
-    (38, "D2", False, "os.environ lookup", "src/d.py", "secret = os.environ[\"S_{n}\"]"),
-    (39, "D2", False, "settings member", "src/d.py", "token = settings.SECRET_KEY"),
-    (40, "D3", False, "tests directory", "/srv/tests/test_auth.py", "password = \"t{h}\""),
-    (41, "D3", False, "mocks directory", "/srv/mocks/user.py", "api_key = \"m{h}\""),
-    (42, "D3", False, "fixtures directory", "/srv/fixtures/user.py", "token = \"f{h}\""),
-    (43, "D4", False, "README with placeholder", "README.md", "api_key = \"your-api-key-here\""),
-    (44, "D4", False, "docs file", "/srv/docs/auth.html", "token = \"d{h}\""),
-    (45, "D5", False, "numeric password", "src/d.py", "password = \"{d}\""),
-    (46, "D5", False, "numeric API key", "src/d.py", "api_key = \"9{d}\""),
-    (47, "D5", False, "short number", "src/d.py", "password = 12345"),
-    (48, "D6", False, "None", "src/d.py", "password = None"),
-    (49, "D6", False, "empty string", "src/d.py", "token = \"\""),
-    (50, "D6", False, "null", "src/d.js", "secret = null"),
-    (51, "D6", False, "undefined", "src/d.js", "token = undefined"),
-    (52, "D7", False, "CSS class", "src/d.css", ".password-field { color: #fff; }"),
-    (53, "D7", False, "CSS id", "src/d.css", "#token {\n  border: 0;\n}"),
-    (54, "D8", False, "commented Python", "src/d.py", "# password = \"o{h}\""),
-    (55, "D8", False, "commented JS", "src/d.js", "// api_key = \"o{h}\""),
-    (56, "D8", False, "block comment", "src/d.js", "/* token = \"o{h}\" */"),
-    (57, "D9", False, "your-password-here", "src/d.py", "password = \"your-password-here\""),
-    (58, "D9", False, "REPLACE_ME", "src/d.py", "api_key = \"REPLACE_ME\""),
-    (59, "D9", False, "XXXX", "src/d.py", "secret = \"XXXXXXXXXXXXXXXX\""),
-    (60, "D9", False, "changeme", "src/d.py", "password = \"changeme\""),
-    (61, "D9", False, "todo", "src/d.py", "token = \"todo-add-token-{n}\""),
-    (62, "D9", False, "repeated characters", "src/d.py", "password = \"aaaaaaaaaaaa\""),
-    (63, "E1", False, "getenv with fallback", "src/e.py", "api_key = os.getenv(\"API_KEY\", \"\")"),
-    (64, "E1", False, "process.env", "src/e.js", "const key = process.env.API_KEY_{n}"),
-    (65, "E2", False, "localhost password", "src/e.py", "password = \"devpassword\""),
-    (66, "E2", False, "framework default key", "src/e.py", "SECRET_KEY = \"django-insecure-{h}\""),
-    (67, "E3", False, "SHA-256 hash", "src/e.py", "sha256 = \"{h}{h}\""),
-    (68, "E3", False, "MD5 hash", "src/e.py", "content_hash = \"{h}\""),
-    (69, "E4", False, "encoded greeting", "src/e.py", "greeting = \"SGVsbG8gV29ybGQh\""),
-    (70, "E5", False, "password as password", "src/e.py", "password = \"password\""),
-    (71, "E5", False, "admin", "src/e.py", "password = \"admin\""),
-    (72, "E5", False, "root", "src/e.py", "password = \"root\""),
-    (73, "E6", False, "number and hash", "src/e.py", "build = \"20240101-{h}\""),
-    (74, "E7", False, "log line", "src/e.py", "print(\"token refreshed for {n}\")"),
-    (75, "E7", False, "debug line", "src/e.py", "logger.debug(\"password check {n}\")"),
+    (28, "C", True, "src/c.java", "a = \"gh~p\" + \"_{h}{q}\";"),
+    (29, "C", True, "src/c.java", "b = \"sk~_live\" + \"_{x}\";"),
+    (30, "C", True, "src/c.java", "c = \"postgresql://u:{s}@db/prod\";"),
+    (31, "D1", False, "src/d.py", "password = getPassword{n}()"),
+    (32, "D1", False, "src/d.py", "secret = config.get(\"name\")"),
+    (33, "D1", False, "src/d.py", "token = headers.get(\"Authorization\")"),
+    (34, "D1", False, "src/d.py", "secret = vault.read_secret(path_{n})"),
+    (35, "D1", False, "src/d.py", "password = bcrypt.hashpw(pw, salt)"),
+    (36, "D2", False, "src/d.py", "password = ui.password_{n}"),
+    (37, "D2", False, "src/d.py", "api_key = self.config.api_key"),
+    (38, "D2", False, "src/d.py", "secret = os.environ[\"S_{n}\"]"),
+    (39, "D2", False, "src/d.py", "token = settings.SECRET_KEY"),
+    (40, "D3", False, "/srv/tests/test_auth.py", "password = \"t{h}\""),
+    (41, "D3", False, "/srv/mocks/user.py", "api_key = \"m{h}\""),
+    (42, "D3", False, "/srv/fixtures/user.py", "token = \"f{h}\""),
+    (43, "D4", False, "README.md", "api_key = \"your-api-key-here\""),
+    (44, "D4", False, "/srv/docs/auth.html", "token = \"d{h}\""),
+    (45, "D5", False, "src/d.py", "password = \"{d}\""),
+    (46, "D5", False, "src/d.py", "api_key = \"9{d}\""),
+    (47, "D5", False, "src/d.py", "password = 12345"),
+    (48, "D6", False, "src/d.py", "password = None"),
+    (49, "D6", False, "src/d.py", "token = \"\""),
+    (50, "D6", False, "src/d.js", "secret = null"),
+    (51, "D6", False, "src/d.js", "token = undefined"),
+    (52, "D7", False, "src/d.css", ".password-field { color: #fff; }"),
+    (53, "D7", False, "src/d.css", "#token {\n  border: 0;\n}"),
+    (54, "D8", False, "src/d.py", "# password = \"o{h}\""),
+    (55, "D8", False, "src/d.js", "// api_key = \"o{h}\""),
+    (56, "D8", False, "src/d.js", "/* token = \"o{h}\" */"),
+    (57, "D9", False, "src/d.py", "password = \"your-password-here\""),
+    (58, "D9", False, "src/d.py", "api_key = \"REPLACE_ME\""),
+    (59, "D9", False, "src/d.py", "secret = \"XXXXXXXXXXXXXXXX\""),
+    (60, "D9", False, "src/d.py", "password = \"changeme\""),
+    (61, "D9", False, "src/d.py", "token = \"todo-add-token-{n}\""),
+    (62, "D9", False, "src/d.py", "password = \"aaaaaaaaaaaa\""),
+    (63, "E1", False, "src/e.py", "api_key = os.getenv(\"API_KEY\", \"\")"),
+    (64, "E1", False, "src/e.js", "const key = process.env.API_KEY_{n}"),
+    (65, "E2", False, "src/e.py", "password = \"devpassword\""),
+    (66, "E2", False, "src/e.py", "SECRET_KEY = \"django-insecure-{h}\""),
+    (67, "E3", False, "src/e.py", "sha256 = \"{h}{h}\""),
+    (68, "E3", False, "src/e.py", "content_hash = \"{h}\""),
+    (69, "E4", False, "src/e.py", "greeting = \"SGVsbG8gV29ybGQh\""),
+    (70, "E5", False, "src/e.py", "password = \"password\""),
+    (71, "E5", False, "src/e.py", "password = \"admin\""),
+    (72, "E5", False, "src/e.py", "password = \"root\""),
+    (73, "E6", False, "src/e.py", "build = \"20240101-{h}\""),
+    (74, "E7", False, "src/e.py", "print(\"token refreshed for {n}\")"),
+    (75, "E7", False, "src/e.py", "logger.debug(\"password check {n}\")"),
 )
 
 # How marks are filled; the same text is valid in Spark SQL and DuckDB.
@@ -373,31 +373,35 @@ def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplied documents as source files, and the planted files."""
-    documents = spread(table(spark, sf_dir, "documents")).select(
+def as_sources(documents: DataFrame) -> DataFrame:
+    """The supplied documents as source files."""
+    return documents.select(
         "doc_id",
         F.expr("concat('src/', source, '/', lang, '_', doc_id, '.py')").alias("file_path"),
         F.col("text").alias("content"),
         F.col("source").alias("batch"),
     )
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied documents as source files, and the planted files."""
+    documents = as_sources(spread(table(spark, sf_dir, "documents")))
     return documents.unionByName(planted_files(spark, sf_dir))
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``scenario_id, category, is_secret, description, file_path, content``:
+    """``scenario_id, category, is_secret, file_path, content``:
     every labelled scenario once per supplier."""
     array = ", ".join(
         f"named_struct('no', {no}L, 'category', {quote(cat)}, 'is_secret', {str(secret).lower()}, "
-        f"'description', {quote(desc)}, 'path', {quote(path)}, 'body', {quote(body)})"
-        for no, cat, secret, desc, path, body in SCENARIOS
+        f"'path', {quote(path)}, 'body', {quote(body)})"
+        for no, cat, secret, path, body in SCENARIOS
     )
     rows = keyed(table(spark, sf_dir, "supplier"), "s_suppkey", f"array({array})")
     return rows.select(
         (F.col("k") * 1000 + F.col("t.no")).alias("scenario_id"),
         F.col("t.category").alias("category"),
         F.col("t.is_secret").alias("is_secret"),
-        F.col("t.description").alias("description"),
         F.col("t.path").alias("file_path"),
         F.expr(filled("t.body")).alias("content"),
     )

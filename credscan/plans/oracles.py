@@ -83,10 +83,10 @@ cte("planted", f"""SELECT {FIRST_PLANTED} + k * 1000 + no AS doc_id, {filled('pa
 cte("files", """SELECT doc_id, concat('src/', source, '/', lang, '_', doc_id, '.py') AS file_path,
     text AS content, source AS batch FROM documents
     UNION ALL SELECT * FROM planted""", "planted")
-_scen = ", ".join(f"({a}, {q(b)}, {str(c).lower()}, {q(d)}, {q(e)}, {q(f)})" for a, b, c, d, e, f in SCENARIOS)
-cte("scenario", f"""SELECT k * 1000 + no AS doc_id, category, is_secret, description, path AS file_path,
+_scen = ", ".join(f"({a}, {q(b)}, {str(c).lower()}, {q(d)}, {q(e)})" for a, b, c, d, e in SCENARIOS)
+cte("scenario", f"""SELECT k * 1000 + no AS doc_id, category, is_secret, path AS file_path,
     {filled('body')} AS content
-    FROM keyed CROSS JOIN (VALUES {_scen}) AS t(no, category, is_secret, description, path, body)""", "keyed")
+    FROM keyed CROSS JOIN (VALUES {_scen}) AS t(no, category, is_secret, path, body)""", "keyed")
 _patch = ", ".join(f"({q(kind)}, {p}, {q(a)}, {q(b)}, {q(body)})" for kind, rows in PATCHES.items() for p, a, b, body in rows)
 _sha = "concat(md5(concat('commit-', event_id)), substr(md5(concat('', event_id)), 1, 8))"
 cte("log", f"""SELECT {_sha} AS sha, event_id AS seq, concat(event_type, ' change ', event_id) AS message,
@@ -197,7 +197,7 @@ def l3_cte(groups: str) -> str:
 cte("groups", group_cte("lines", "hits"), "lines", "hits")
 cte("l3", l3_cte("groups"), "groups")
 
-# --- false-positive rules, as first stated ----------------------------------
+# --- false-positive rules, as first stated (fixed values) --------------------
 
 _KW = "password|secret|key|token|pwd|auth|pass|credential"
 _S = f"[{WS}]"
@@ -344,7 +344,7 @@ _rules_or = " OR ".join(like("secret", r.pattern, True) for r in RULES)
 _near = "substr(lower(line), greatest(at_ - 50, 0) + 1, least(length(line), at_ + length(secret) + 50) - greatest(at_ - 50, 0))"
 cte("entropy_hits", f"""SELECT doc_id, line_no, rule_id, match_ord, secret, description, severity, shown FROM (
     SELECT *, 'high-entropy-generic' AS rule_id,
-    concat('High entropy string (score: ', CAST(CAST(round(b, 2) AS DECIMAL(6,2)) AS VARCHAR), ') ', chr(8212), ' possible secret') AS description,
+    concat('High entropy string (score: ', CAST(CAST(round(b, 2) AS DECIMAL(6,2)) AS VARCHAR), ') ', '— possible secret') AS description,
     CASE WHEN b < 4.2 THEN 'medium' ELSE 'high' END AS severity,
     CASE WHEN length({_trim}) > 180 THEN concat(substr({_trim}, 1, 180), '...') ELSE {_trim} END AS shown
     FROM (SELECT *, {bits('secret')} AS b, {_near} AS near_ FROM (
@@ -466,7 +466,7 @@ ORACLES["change_gate"] = build(
     """SELECT batch, count(*)::BIGINT AS n_files, sum(n_findings)::BIGINT AS n_findings, max(max_score) AS max_score,
     sum(n_findings) > 0 AS blocked FROM risk GROUP BY batch""", "risk")
 ORACLES["stream_scan"] = build(
-    f"SELECT {M}, secret, combined_score, severity FROM findings WHERE doc_id < {FIRST_PLANTED}", "findings")
+    f"SELECT {M}, secret, combined_score, severity FROM findings", "findings")
 
 # --- history ----------------------------------------------------------------
 
@@ -523,7 +523,10 @@ ORACLES["findings_by_commit"] = build(
     count(CASE WHEN severity = 'high' THEN 1 END)::BIGINT AS n_high,
     count(CASE WHEN severity = 'medium' THEN 1 END)::BIGINT AS n_medium
     FROM first_seen GROUP BY sha, sha_short""", "first_seen")
-ORACLES["stream_first_exposures"] = build("SELECT file_path, secret FROM first_seen", "first_seen")
+ORACLES["stream_first_exposures"] = ORACLES["first_exposures"]
+ORACLES["stream_daily_counts"] = build(
+    """SELECT strftime(committed_at, '%Y-%m-%d') AS day, severity, count(*)::BIGINT AS n_findings,
+    max(combined_score) AS max_score FROM history GROUP BY 1, 2""", "history")
 
 # --- evaluation -------------------------------------------------------------
 
@@ -537,8 +540,8 @@ _each = " UNION ALL ".join(
     for name, layers in CONFIGURATIONS)
 _configs = ", ".join(f"({q(name)})" for name, _ in CONFIGURATIONS)
 cte("judged", f"""SELECT *, score >= 0.3 AS detected, (score >= 0.3) = is_secret AS correct FROM (
-    SELECT doc_id AS scenario_id, category, is_secret, description, config, coalesce(max(score), 0)::DOUBLE AS score
-    FROM (SELECT doc_id, category, is_secret, description, config FROM scenario
+    SELECT doc_id AS scenario_id, category, is_secret, config, coalesce(max(score), 0)::DOUBLE AS score
+    FROM (SELECT doc_id, category, is_secret, config FROM scenario
       CROSS JOIN (VALUES {_configs}) AS c(config)) LEFT JOIN ({_each}) USING (doc_id, config)
     GROUP BY ALL)""", "scenario", "s_l4", "s_l3")
 _conf = """count(CASE WHEN detected AND is_secret THEN 1 END)::BIGINT AS tp,
@@ -551,7 +554,7 @@ _rates = """round(coalesce(tp / nullif(tp + fp, 0), 0), 3)::DOUBLE AS precision,
     round(coalesce(fp / nullif(fp + tn, 0), 0), 3)::DOUBLE AS fpr"""
 cte("by_config", f"SELECT config, {_conf} FROM judged GROUP BY config", "judged")
 ORACLES["scenario_outcomes"] = build(
-    "SELECT scenario_id, category, is_secret, description, score, detected, correct FROM judged WHERE config = 'L1+L2+L3+L4'", "judged")
+    "SELECT scenario_id, category, is_secret, score, detected, correct FROM judged WHERE config = 'L1+L2+L3+L4'", "judged")
 ORACLES["confusion_counts"] = build("SELECT * FROM by_config", "by_config")
 ORACLES["detector_metrics"] = build(f"SELECT *, {_rates} FROM by_config WHERE config = 'L1+L2+L3+L4'", "by_config")
 ORACLES["category_confusion"] = build(

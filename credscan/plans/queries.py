@@ -13,8 +13,8 @@ from credscan.functions import suppress as P
 from credscan.functions.signals import signal_score
 from credscan.functions.text import split_lines, utf8_text
 from credscan.operators import evaluate, history, legacy, models, risk, scan
-from credscan.operators.matches import candidate_lines_sql, explode_late, matches, tiered
-from credscan.plans.corpus import commits, patches, scenarios, sources, table
+from credscan.operators.matches import candidate_lines_sql, explode_late, matches, matches_per_rule, tiered
+from credscan.plans.corpus import as_sources, commits, patches, planted_files, scenarios, sources, table
 from credscan.rules import rule_table
 from credscan.sources import paths
 from credscan.sources.files import write_findings, write_report
@@ -34,7 +34,7 @@ MATCH = ("doc_id", "line_no", "rule_id", "match_ord")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(sources(spark, sf_dir))
+    return sources(spark, sf_dir)
 
 
 def _joined(array, separator: str = "\n"):
@@ -101,10 +101,7 @@ def tiered_matches(spark, sf_dir):
 @query
 def matches_by_rule(spark, sf_dir):
     """A line counts once per rule through its first match there."""
-    per_doc = matches(_files(spark, sf_dir), "content").groupBy("rule_id", "doc_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("match_ord") == 0).alias("lines")
-    )
-    return per_doc.groupBy("rule_id").agg(
+    return matches_per_rule(_files(spark, sf_dir), "content").groupBy("rule_id").agg(
         F.sum("n").alias("n_matches"), F.sum("lines").alias("n_lines"), F.count("*").alias("n_docs")
     )
 
@@ -421,11 +418,9 @@ def patch_added_lines(spark, sf_dir):
 HISTORY = ("sha", "file_path", "line_approx", "rule_id", "match_ord", "secret")
 
 
-def _history(spark, sf_dir, chosen=None, at_most=None):
-    rows = patches(spark, sf_dir)
-    if chosen is not None:
-        rows = history.only_commits(rows, chosen, at_most)
-    return history.scan_patches(rows, commits(spark, sf_dir))
+def _history(spark, sf_dir, chosen=None):
+    found = history.scan_patches(patches(spark, sf_dir), commits(spark, sf_dir))
+    return found if chosen is None else history.only_commits(found, chosen)
 
 
 @query
@@ -439,15 +434,15 @@ def history_findings(spark, sf_dir):
 @query
 def recent_commits(spark, sf_dir):
     newest = history.recent(commits(spark, sf_dir), 500)
-    return _history(spark, sf_dir, newest, 500).select(*HISTORY, "combined_score", "seq")
+    return _history(spark, sf_dir, newest).select(*HISTORY, "combined_score", "seq")
 
 
 @query
 def range_findings(spark, sf_dir):
     """Between the tenth commit of the history and its last."""
     log = commits(spark, sf_dir)
-    start = log.where(F.col("seq") == 10).first()["sha"]
-    end = log.select(F.max_by("sha", "seq")).first()[0]
+    start = log.where(F.col("seq") == 10).select(F.max("sha")).scalar()
+    end = log.select(F.max_by("sha", "seq")).scalar()
     return _history(spark, sf_dir, history.commit_range(log, start, end)).select(
         *HISTORY, "combined_score", "seq"
     )
@@ -471,19 +466,19 @@ def findings_by_commit(spark, sf_dir):
 
 # --- evaluation -------------------------------------------------------------
 
-def _judged(spark, sf_dir):
+def _judged(spark, sf_dir, configurations=risk.CONFIGURATIONS):
     best = risk.risk_by_configuration(
-        scenarios(spark, sf_dir), keep=("scenario_id", "category", "is_secret", "description")
+        scenarios(spark, sf_dir), keep=("scenario_id", "category", "is_secret"), configurations=configurations
     )
     return evaluate.outcomes(best)
 
 
-FULL = "L1+L2+L3+L4"
+FULL = risk.CONFIGURATIONS[-1:]
 
 
 @query
 def scenario_outcomes(spark, sf_dir):
-    return _judged(spark, sf_dir).where(F.col("config") == FULL).drop("config")
+    return _judged(spark, sf_dir, FULL).drop("config")
 
 
 @query
@@ -493,8 +488,7 @@ def confusion_counts(spark, sf_dir):
 
 @query
 def detector_metrics(spark, sf_dir):
-    judged = _judged(spark, sf_dir).where(F.col("config") == FULL)
-    return evaluate.rates(evaluate.confusion(judged, "config"))
+    return evaluate.rates(evaluate.confusion(_judged(spark, sf_dir, FULL), "config"))
 
 
 @query
@@ -516,21 +510,35 @@ def baseline_comparison(spark, sf_dir):
 
 @query
 def stream_scan(spark, sf_dir):
-    schema = table(spark, sf_dir, "documents").schema
-    arriving = jobs.read_stream(spark, sf_dir, "documents.parquet", schema).withColumn(
-        "file_path", F.expr("concat('src/', source, '/', lang, '_', doc_id, '.py')")
-    )
-    found = scan.scan(arriving, text="text").select(*MATCH, "secret", "combined_score", "severity")
+    """All source texts as streams: the supplied documents where they lie, the planted ones from files."""
+    documents = table(spark, sf_dir, "documents").schema
+    supplied = as_sources(jobs.read_stream(spark, f"{sf_dir}/documents.parquet", documents))
+    planted = planted_files(spark, sf_dir)
+    folder = jobs.shared_dir(spark, "planted")
+    planted.write.parquet(folder)
+    arriving = supplied.unionByName(jobs.read_stream(spark, f"{folder}/*.parquet", planted.schema))
+    found = scan.scan(arriving).select(*MATCH, "secret", "combined_score", "severity")
     return jobs.drain(found, jobs.shared_dir(spark, "stream-scan"))
 
 
-@query
-def stream_first_exposures(spark, sf_dir):
-    """First exposures in the history, with the findings arriving as files."""
+def _arriving_history(spark, sf_dir):
+    """The findings of the history, arriving as files."""
+    columns = ("committed_at", "seq", "line_no", "rule_ord", *HISTORY, "combined_score", "severity")
+    found = _history(spark, sf_dir).select(*columns)
     target = jobs.shared_dir(spark, "history-findings")
-    found = _history(spark, sf_dir).select("committed_at", "file_path", "secret", "combined_score", "severity")
     found.write.parquet(target)
-    arriving = jobs.read_stream(spark, target, "*.parquet", found.schema)
-    return jobs.drain(jobs.first_exposures(arriving), jobs.shared_dir(spark, "stream-first")).select(
-        "file_path", "secret"
-    )
+    return jobs.read_stream(spark, f"{target}/*.parquet", found.schema)
+
+
+@query
+def stream_first_exposures(spark, sf_dir):
+    stream = jobs.first_exposures(_arriving_history(spark, sf_dir))
+    found = jobs.drain_latest(stream, jobs.shared_dir(spark, "stream-first"), ("file_path", "secret"))
+    return found.select(*HISTORY, "combined_score", "seq")
+
+
+@query
+def stream_daily_counts(spark, sf_dir):
+    stream = jobs.daily_counts(_arriving_history(spark, sf_dir))
+    found = jobs.drain_latest(stream, jobs.shared_dir(spark, "stream-daily"), ("day", "severity"))
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "severity", "n_findings", "max_score")

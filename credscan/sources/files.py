@@ -20,23 +20,35 @@ def read_files(
 ) -> DataFrame:
     """``file_path, content`` for a file, a directory tree or a list of either.
 
-    Bytes that are not UTF-8 are dropped. ``skip_binary`` leaves out files with
+    A path or pattern that matches nothing gives no rows. Bytes that are not UTF-8 are dropped. ``skip_binary`` leaves out files with
     a binary extension before their content is read; scanning a single file
     does that, walking a directory does not.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(paths if isinstance(paths, str) else list(paths))
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    found = [p for p in paths if _exists(spark, p)]
+    if not found:
+        return spark.createDataFrame([], "file_path string, content string")
+    files = reader.load(found)
     file_path = F.regexp_replace("path", "^file:/*", "/")
     if skip_binary:
         files = files.where(~is_binary_file(F.col("path")))
     return files.select(file_path.alias("file_path"), utf8_text(F.col("content")).alias("content"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern matches anything, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    matched = store.globStatus(where)
+    return matched is not None and len(matched) > 0
+
+
 def write_findings(findings: DataFrame, path: str, format: str = "parquet") -> None:
-    """Findings as files, one directory per severity."""
-    findings.write.mode("overwrite").partitionBy("severity").format(format).save(path)
+    """Findings as files, one directory per severity, in files of even size."""
+    findings.hint("rebalance", F.col("severity")).write.mode("overwrite").partitionBy("severity").format(format).save(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

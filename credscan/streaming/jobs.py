@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-def read_stream(spark: SparkSession, folder: str, glob: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """Rows of Parquet as they arrive at ``path``: a file, a folder of part files, or a pattern."""
+    pattern = path if any(c in path for c in "*?[{") else f"{path}*"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 def drain(stream: DataFrame, target: str, mode: str = "append") -> DataFrame:
@@ -43,17 +41,49 @@ def drain(stream: DataFrame, target: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(os.path.join(target, "data"))
 
 
-def first_exposures(findings: DataFrame, time: str = "committed_at", delay: str = "30 days") -> DataFrame:
-    """Each (file, secret) once. State is kept for ``delay`` after an exposure,
-    which bounds it; the same secret may be reported again after that."""
-    return findings.withWatermark(time, delay).dropDuplicatesWithinWatermark(["file_path", "secret"])
+def drain_latest(stream: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregation over everything available and read back each key's last value.
+
+    Every micro-batch writes the keys it changed to a folder of its own number, so a batch that is
+    run again replaces its own files.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(os.path.join(target, "data", f"batch={batch}"))
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", os.path.join(target, "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = stream.schema.add("batch", "long")
+    rows = stream.sparkSession.read.schema(schema).parquet(os.path.join(target, "data"))
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
+
+
+#: What ranks the exposures of one secret, oldest first.
+OLDEST = ("seq", "-combined_score", "line_no", "rule_ord", "match_ord")
+
+
+def first_exposures(findings: DataFrame) -> DataFrame:
+    """The oldest finding of each (file, secret), whatever the order of arrival.
+
+    The state holds one row per distinct (file, secret), as the result does; nothing is late.
+    """
+    order = [(-F.col(c[1:]) if c[0] == "-" else F.col(c)).alias(f"o{i}") for i, c in enumerate(OLDEST)]
+    rest = [c for c in findings.columns if c not in ("file_path", "secret")]
+    oldest = F.min(F.struct(*order, F.struct(*rest).alias("row"))).alias("oldest")
+    return findings.groupBy("file_path", "secret").agg(oldest).select("file_path", "secret", "oldest.row.*")
 
 
-def daily_counts(findings: DataFrame, time: str = "committed_at", delay: str = "1 day") -> DataFrame:
-    """Findings per day and severity; days close once ``delay`` has passed."""
+def daily_counts(findings: DataFrame, time: str = "committed_at") -> DataFrame:
+    """Findings per day and severity. The state has one row for each, so no day is ever closed."""
     return (
-        findings.withWatermark(time, delay)
-        .groupBy(F.window(time, "1 day").alias("w"), "severity")
+        findings.groupBy(F.window(time, "1 day").alias("w"), "severity")
         .agg(F.count("*").alias("n_findings"), F.max("combined_score").alias("max_score"))
         .select(F.col("w.start").alias("day"), "severity", "n_findings", "max_score")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from credscan.operators import evaluate, history, models, risk, scan
 from credscan.operators.matches import matches
 from credscan.plans.corpus import scenarios, sources
-from credscan.plans.queries import _judged
+from credscan.plans.queries import QUERIES, _judged
 from credscan.rules import RULES
 from credscan.sources.files import read_files, write_findings
 from credscan.streaming import jobs
@@ -182,24 +182,63 @@ def test_files_and_findings_sink(spark, tmp_path):
     assert read_files(spark, [str(tmp_path / "a.py")]).count() == 1
 
 
-def test_stream_equals_batch(spark, sf_dir, tmp_path):
-    files = sources(spark, sf_dir)
-    files.write.parquet(str(tmp_path / "in"))
-    arriving = jobs.read_stream(spark, str(tmp_path / "in"), "*.parquet", files.schema, 2)
+@pytest.mark.parametrize("layout", ["file", "folder"])
+def test_stream_equals_batch(spark, sf_dir, tmp_path, layout):
+    files = sources(spark, sf_dir).where("doc_id % 3 = 0").repartition(3)
+    files.write.parquet(str(tmp_path / "in.parquet"))
+    path = str(tmp_path / "in.parquet")
+    if layout == "file":
+        files.coalesce(1).write.parquet(str(tmp_path / "one"))
+        path = str(tmp_path / "alone.parquet")
+        next((tmp_path / "one").glob("part-*.parquet")).rename(path)
+    arriving = jobs.read_stream(spark, path, files.schema, 2)
     columns = ["doc_id", "line_no", "rule_id", "match_ord", "combined_score"]
     got = jobs.drain(scan.scan(arriving).select(*columns), str(tmp_path / "out"))
     want = scan.scan(files).select(*columns)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+YEAR = """
+    SELECT timestamp_seconds(h * 3600) AS committed_at, h AS seq, 1 AS line_no, 0 AS rule_ord, 0 AS match_ord,
+    concat('f', pmod(h * 7, 5)) AS file_path, concat('s', pmod(h * 13, 101)) AS secret,
+    CAST(0.3 + pmod(h, 60) / 100 AS double) AS combined_score, CASE WHEN h % 3 = 0 THEN 'high' ELSE 'medium' END AS severity
+    FROM (SELECT pmod(id * 7919, 8760) AS h FROM range(8760))"""
 
 
-def test_daily_counts_stream(spark, tmp_path):
-    rows = spark.range(96).select(
-        F.timestamp_seconds(F.col("id") * 3600).alias("committed_at"),
-        F.lit("high").alias("severity"), F.lit(0.6).alias("combined_score"))
-    rows.write.parquet(str(tmp_path / "in"))
-    arriving = jobs.read_stream(spark, str(tmp_path / "in"), "*.parquet", rows.schema)
-    out = jobs.drain(jobs.daily_counts(arriving), str(tmp_path / "out")).collect()
-    assert out and all(r["n_findings"] == 24 for r in out)
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_streams_over_a_year_in_any_order(spark, tmp_path, files_per_batch):
+    rows = spark.sql(YEAR)
+    rows.repartition(6, "secret").write.parquet(str(tmp_path / "in"))
+
+    def arriving():
+        return jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, files_per_batch)
+
+    got = jobs.drain_latest(jobs.first_exposures(arriving()), str(tmp_path / "first"), ("file_path", "secret"))
+    want = history.first_exposures(rows).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    days = jobs.drain_latest(jobs.daily_counts(arriving()), str(tmp_path / "daily"), ("day", "severity")).collect()
+    assert sum(r["n_findings"] for r in days) == 8760 and len(days) == 730
+    assert {r["severity"]: r["n_findings"] for r in days[:2]} and max(r["n_findings"] for r in days) == 16
+
+
+def test_nothing_runs_while_a_query_is_built(spark, sf_dir):
+    fits = {"train_text_classifier", "model_scores", "cv_metrics", "context_similarity", "findings_report"}
+    ran = []
+    for name, build in QUERIES.items():
+        if name not in fits and not name.startswith("stream_"):
+            spark.sparkContext.setJobGroup(f"build {name}", name)
+            build(spark, sf_dir)
+            if spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {name}"):
+                ran.append(name)
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert ran == []
+
+
+def test_missing_paths_give_no_rows(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 1")
+    listed = [str(tmp_path / "a.py"), str(tmp_path / "gone.py"), str(tmp_path / "*.none")]
+    assert [r["content"] for r in read_files(spark, listed).collect()] == ["x = 1"]
+    assert read_files(spark, str(tmp_path / "gone.py")).count() == 0
 
 
 def test_stratified_folds_deal_every_label_evenly(spark):
