@@ -274,6 +274,6 @@ def scores(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
         rows.where(F.col("part") == LEFT).groupBy("chunk").cogroup(answers)
         .applyInArrow(_left_out(buckets), "seen int, pair long, context long, token long, n long")
     )
-    weights = learned(tuples, kept, types)
+    weights = learned(tuples, kept, types) if types else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("chunk").cogroup(answers).applyInArrow(_scores(buckets, weights, kept + left_tokens, types), schema)
