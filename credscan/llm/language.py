@@ -158,8 +158,8 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``labelled`` (text, lang); the fit itself reads about ``sample`` rows."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    """A model from ``labelled`` (doc_id, text, lang); the fit itself reads about ``sample`` rows."""
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     found = labelled.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     seen = np.zeros(FEATURES + 1)
     for r in found.collect():  # at most FEATURES + 1 rows
@@ -172,8 +172,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     if sizes:
         spark = labelled.sparkSession
         shares = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
-        draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
-        # the text decides, so copies come together; the limit holds whatever they are
+        # a large group of copies is drawn in its share; the limit holds whatever the rows are
+        draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
         picked = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).limit(2 * sample)
         for r in picked.select("text", "lang").mapInArrow(_vectors(idf), "lang string, at array<int>, weights array<float>").collect():
             rows.append((np.array(r["at"]), np.array(r["weights"], float), languages.index(r["lang"])))

@@ -357,8 +357,8 @@ def fit(sample: list[str]) -> Labeller:
 
 def trained(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """A labeller fitted on the ``sample`` pages of least hash, a draw that no order of rows affects."""
-    rows = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).select("html")
-    drawn = rows.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    rows = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS))
+    drawn = rows.orderBy(F.xxhash64("page_id", "html"), "html").select("html").limit(sample).collect()
     return fit([r["html"] for r in drawn])
 
 
