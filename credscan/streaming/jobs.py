@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -58,7 +59,7 @@ def drain_latest(stream: DataFrame, target: str, keys: Sequence[str]) -> DataFra
         .start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch", "long")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     rows = stream.sparkSession.read.schema(schema).parquet(os.path.join(target, "data"))
     rest = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))

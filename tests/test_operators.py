@@ -223,12 +223,14 @@ def test_streams_over_a_year_in_any_order(spark, tmp_path, files_per_batch):
 
 def test_nothing_runs_while_a_query_is_built(spark, sf_dir):
     fits = {"train_text_classifier", "model_scores", "cv_metrics", "context_similarity", "findings_report"}
-    ran = []
+    tracker, ran = spark.sparkContext.statusTracker(), []
     for name, build in QUERIES.items():
         if name not in fits and not name.startswith("stream_"):
             spark.sparkContext.setJobGroup(f"build {name}", name)
             build(spark, sf_dir)
-            if spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {name}"):
+            stages = [s for j in tracker.getJobIdsForGroup(f"build {name}") for s in tracker.getJobInfo(j).stageIds]
+            # reading the schema of a table is a job of the reader
+            if any(not tracker.getStageInfo(s).name.startswith("parquet at") for s in stages):
                 ran.append(name)
     spark.sparkContext.setJobGroup("tests", "tests")
     assert ran == []
