@@ -59,17 +59,30 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
 
 
-def _packed(keys: np.ndarray, level: int) -> bytes:
-    """Unigram keys whole, bigram keys without their bucket."""
-    return keys.tobytes() if level == 1 else keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first and the steps between them, in as few bytes each as the largest needs."""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpacked(data: bytes, level: int, bucket: int) -> np.ndarray:
-    if level == 1:
-        return np.frombuffer(data, np.uint64)
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8")[:, 0] | np.uint64(bucket) << np.uint64(48)
+def _unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    wide = np.zeros((1 + (len(data) - 9) // width, 8), np.uint8)
+    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
+    wide[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow in eight."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _large(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
+    return counts
 
 
 _COUNTED = "level int, bucket int, chunk int, grams binary, kept binary, left_out binary"
@@ -98,8 +111,8 @@ def _counts(buckets: int):
             of = (_bucket(own, buckets) if level == 1 else own >> np.uint64(48)).astype(np.int64)
             ends = np.searchsorted(of, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)):
-                cut_ = slice(ends[b], ends[b + 1])
-                rows.append((level, int(b), chunk, _packed(own[cut_], level), kept[cut_].tobytes(), left[cut_].tobytes()))
+                part_ = slice(ends[b], ends[b + 1])
+                rows.append((level, int(b), chunk, _packed(own[part_]), _small(kept[part_]), _small(left[part_])))
         return _table(rows, _COUNTED)
 
     return run
@@ -108,11 +121,11 @@ def _counts(buckets: int):
 def _answers(group: pa.Table) -> pa.Table:
     """Totals for the chunks that can't know them, and for each chunk's left-out n-grams."""
     level, bucket = group.column("level")[0].as_py(), group.column("bucket")[0].as_py()
-    keys = [_unpacked(g, level, bucket) for g in group.column("grams").to_pylist()]
-    chunk = np.repeat(group.column("chunk").to_numpy(), [len(k) for k in keys])
-    keys = np.concatenate(keys)
+    keys = [_unpacked(g) for g in group.column("grams").to_pylist()]
+    sizes = [len(k) for k in keys]
+    chunk, keys = np.repeat(group.column("chunk").to_numpy(), sizes), np.concatenate(keys)
     kept, left = (
-        np.concatenate([np.frombuffer(x, np.uint32) for x in group.column(c).to_pylist()]).astype(np.int64)
+        np.concatenate([_large(x, n) for x, n in zip(group.column(c).to_pylist(), sizes, strict=True)])
         for c in ("kept", "left_out")
     )
     order = np.argsort(keys)
@@ -130,8 +143,7 @@ def _answers(group: pa.Table) -> pa.Table:
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         own = asked[a:b]
         rows.append((
-            level, bucket, int(chunk[own[0]]), _packed(keys[own], level), all_kept[own].astype(np.uint32).tobytes(),
-            all_left[own].astype(np.uint32).tobytes(), 0, 0, 0,
+            level, bucket, int(chunk[own[0]]), _packed(keys[own]), _small(all_kept[own]), _small(all_left[own]), 0, 0, 0,
         ))
     return _table(rows, _ANSWERED)
 
@@ -139,11 +151,12 @@ def _answers(group: pa.Table) -> pa.Table:
 def _answered(answers: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, kept and left-out counts of a chunk's answers, ascending by key."""
     rows = [r for r in answers.to_pylist() if r["level"] == level]
-    keys = np.concatenate([_unpacked(r["grams"], level, r["bucket"]) for r in rows] or [np.zeros(0, np.uint64)])
+    keys = [_unpacked(r["grams"]) for r in rows]
     kept, left = (
-        np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        np.concatenate([_large(r[c], len(k)) for r, k in zip(rows, keys, strict=True)] or [np.zeros(0, np.int64)])
         for c in ("kept", "left_out")
     )
+    keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
     order = np.argsort(keys)
     return keys[order], kept[order], left[order]
 
@@ -164,7 +177,7 @@ def _context(counts: np.ndarray, bounds: np.ndarray, ends: int) -> np.ndarray:
 
 def _seen(context: np.ndarray) -> np.ndarray:
     """The bucket of a context's count: 0 if unseen, else 1 + its logarithm to the base 2."""
-    return np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(np.int64), 0)
+    return np.where(context > 0, np.frexp(np.maximum(context, 1).astype(float))[1], 0)
 
 
 def _left_out(buckets: int):
@@ -172,17 +185,14 @@ def _left_out(buckets: int):
 
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())], ["seen", "pair", "context", "token", "n"])
+            return pa.table([pa.array([], pa.int64())] * 4, ["pair", "context", "token", "n"])
         tokens, pairs, bounds = _stream(group.column("text"), buckets)
         one, two = _answered(answers, 1), _answered(answers, 2)
         count = _looked_up(tokens, *one[:2])
         pair = _looked_up(pairs, *two[:2])
         context = _context(count, bounds, int(_looked_up(np.array([END]), *one[:2])[0]))
         rows, n = np.unique(np.stack([pair, context, count], 1), axis=0, return_counts=True)
-        return pa.table(
-            [pa.array(_seen(rows[:, 1]).astype(np.int32)), *(pa.array(rows[:, i]) for i in range(3)), pa.array(n)],
-            ["seen", "pair", "context", "token", "n"],
-        )
+        return pa.table([*(pa.array(rows[:, i]) for i in range(3)), pa.array(n)], ["pair", "context", "token", "n"])
 
     return run
 
@@ -234,10 +244,11 @@ def learned(tuples: DataFrame, total: int, types: int) -> np.ndarray:
     weights[0, 0] = 0
     weights /= weights.sum(1, keepdims=True)
     two = F.when(F.col("context") > 0, F.col("pair") / F.col("context")).otherwise(0.0)
+    seen = F.when(F.col("context") > 0, F.length(F.bin("context"))).otherwise(0)  # as _seen has it
     parts = [two, F.col("token") / max(1, total), F.lit(1 / (types + 1))]
     for _ in range(ROUNDS):
-        own = [F.element_at(F.array(*map(F.lit, weights[:, i].tolist())), F.col("seen") + 1) * p for i, p in enumerate(parts)]
-        shares = tuples.select("seen", "n", *[x.alias(f"c{i}") for i, x in enumerate(own)])
+        own = [F.element_at(F.array(*map(F.lit, weights[:, i].tolist())), seen + 1) * p for i, p in enumerate(parts)]
+        shares = tuples.select(seen.alias("seen"), "n", *[x.alias(f"c{i}") for i, x in enumerate(own)])
         every = F.col("c0") + F.col("c1") + F.col("c2")
         sums = shares.groupBy("seen").agg(*[F.sum(F.col("n") * F.col(f"c{i}") / every).alias(f"c{i}") for i in range(3)])
         found = np.zeros((BUCKETS, 3))
@@ -272,7 +283,8 @@ def scores(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     answers = answers.where("chunk >= 0").select("chunk", "level", "bucket", "grams", "kept", "left_out").groupBy("chunk")
     tuples = cut(
         rows.where(F.col("part") == LEFT).groupBy("chunk").cogroup(answers)
-        .applyInArrow(_left_out(buckets), "seen int, pair long, context long, token long, n long")
+        .applyInArrow(_left_out(buckets), "pair long, context long, token long, n long")
+        .groupBy("pair", "context", "token").agg(F.sum("n").alias("n"))
     )
     weights = learned(tuples, kept, types) if types else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
