@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credscan.llm.cluster import cut
-from credscan.llm.words import _SPACE, _spans, hash_spans, text_bytes
+from credscan.llm.token_counts import byte_letters
+from credscan.llm.words import _LOWER, _SPACE, _spans, hash_spans, text_bytes
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, and text bytes it works on at a time.
-REMEMBERED, AT_ONCE = 200_000, 1 << 21
+REMEMBERED, AT_ONCE = 400_000, 1 << 21
 #: Pieces of one length that are ranked together.
 RANKED = 10_000
+_CLOSING = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
+#: What byte-level vocabularies write for each byte.
+_LETTERS = {byte: letter for letter, byte in byte_letters().items()}
 
 
 @cache
@@ -44,33 +50,69 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _atoms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with closing punctuation after a letter as spans of their own.
+
+    The tokenizer parts letters from punctuation, so the ids of a word are those of its parts.
+    """
+    stem = ends.copy()
+    for _ in range(8):
+        more = _CLOSING[data[stem - 1]] & (stem - starts > 1)
+        if not more.any():
+            break
+        stem[more] -= 1
+    last, before = data[stem - 1], data[np.maximum(stem - 2, 0)]
+    latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    parted = (stem < ends) & (_LETTER[last] | latin)
+    stem = np.where(parted, stem, ends)
+    return np.sort(np.concatenate([starts, stem[parted]])), np.sort(np.concatenate([stem, ends[parted]]))
+
+
 class _Ids:
     """Ids of texts through the ids of their words.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its
-    words in order.
+    words in order. It lowers case, so a slice that spells no special token may be lowered first.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, bytes] = {}
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        """A word of Latin letters in composed form goes straight to the merges; the others the whole way."""
+        other, merges = [], self.tokenizer.model.tokenize
+        for key, word in zip(keys, words, strict=True):
+            if word.isascii() and word.isalpha() and word.islower():
+                ids = [t.id for t in merges(word)]
+            elif word.isalpha() and max(word) < "\u0250" and word.lower().isalpha() and is_normalized("NFC", word):
+                ids = [t.id for t in merges(word.lower().encode().decode("latin-1").translate(_LETTERS))]
+            else:
+                other.append((key, word))
+                continue
+            self.known[key] = np.array(ids, np.uint32).tobytes()
+        found = self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False)
+        for (key, _), own in zip(other, found, strict=True):
+            self.known[key] = np.array(own.ids, np.uint32).tobytes()
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each followed by id 0, and their bounds."""
         data, offsets = text_bytes(column)
-        starts, ends = _spans(data, offsets, _SPACE)
+        raw = data.tobytes()
+        if b"<|" not in raw:
+            data = _LOWER[data]
+            raw = data.tobytes()
+        starts, ends = _atoms(data, *_spans(data, offsets, _SPACE))
         hashes, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         keys = hashes.tolist()
         new = [i for i, h in enumerate(keys) if h not in self.known]
-        raw = data.tobytes()
-        words = [raw[starts[first[i]] : ends[first[i]]].decode() for i in new]
-        for i, found in zip(new, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(found.ids, np.uint32)
+        at = first[new].tolist() if new else []
+        self._learn([keys[i] for i in new], [raw[starts[k] : ends[k]].decode() for k in at])
         pool = [self.known[h] for h in keys]
-        sizes = np.fromiter(map(len, pool), np.int64, len(pool))
-        flat = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        flat = np.frombuffer(b"".join(pool), np.uint32)
         begin = np.cumsum(sizes) - sizes
         taken = sizes[inverse]
         ends_of = np.cumsum(taken)
