@@ -24,11 +24,22 @@ MOST_CLASS, MOST_WORD = 0.25, 0.5
 LEAST_CHARS, LEAST_WORDS = 200, 50
 ALL = "*"
 _SPACE = r"[\x20\x09-\x0D]+"
-#: What is left of a text when all else is removed; ``rest`` is what none of these counts.
+#: Counted by what is left when all else is removed, after a-z (the class ``lower``) has been;
+#: the rest is what no class counts.
 CLASSES = {
-    "lower": r"[^a-z]+", "upper": r"[^A-Z]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+",
-    "mark": r"""[^.,;:!?'"()\-]+""", "wide": r"[\x00-\x7F]+",
+    "upper": r"[^A-Z]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+", "mark": r"""[^.,;:!?'"()\-]+""", "wide": r"[\x00-\x7F]+",
 }
+KINDS = ["lower", *CLASSES]
+
+
+def _classed(texts: DataFrame, *keep: str) -> DataFrame:
+    """n_chars, n_symbols and the count of each class; the patterns run over what a-z leaves of a text."""
+    left = texts.select(*keep, F.length("text").alias("n_chars"), F.regexp_replace("text", "[a-z]+", "").alias("left"))
+    return left.select(
+        *keep, "n_chars", (F.col("n_chars") - F.length("left")).alias("lower"),
+        F.length(F.regexp_replace("left", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        *[F.length(F.regexp_replace("left", pattern, "")).alias(name) for name, pattern in CLASSES.items()],
+    )
 
 
 def _repeated(words: str, windows: str, bits: str) -> Column:
@@ -52,11 +63,10 @@ def features(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = texts.select(
-        "doc_id", "lang", "text", F.array_remove(F.split("text", _SPACE), "").alias("words"), lines.alias("lines"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.length("text").alias("n_chars"),
-        *[F.length(F.regexp_replace("text", pattern, "")).alias(name) for name, pattern in CLASSES.items()],
+        "doc_id", "lang", "text", F.array_remove(F.split("text", _SPACE), "").alias("words"), lines.alias("lines")
     )
-    counts = ["n_symbols", "n_chars", *CLASSES]
+    split = _classed(split, "doc_id", "lang", "words", "lines")
+    counts = ["n_symbols", "n_chars", *KINDS]
     sized = split.select(
         "doc_id", "lang", "words", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -86,10 +96,8 @@ def _part(p: Column, q: Column) -> Column:
 def references(docs: DataFrame) -> DataFrame:
     """Per language: share of each character class, and a map of its common words' shares."""
     texts = docs.select(F.coalesce("lang", F.lit(ALL)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = texts.select(
-        "lang", F.length("text").alias("n_chars"), *[F.length(F.regexp_replace("text", p, "")).alias(n) for n, p in CLASSES.items()]
-    )
-    classes = sizes.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ["n_chars", *CLASSES]])
+    sizes = _classed(texts, "lang")
+    classes = sizes.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ["n_chars", *KINDS]])
     words = texts.select("lang", F.explode(F.split(F.lower("text"), _SPACE)).alias("word")).where("word <> ''")
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -102,13 +110,13 @@ def references(docs: DataFrame) -> DataFrame:
     common = shares.where(F.col("n") >= COMMON * F.col("total")).groupBy("lang").agg(
         F.map_from_entries(F.collect_list(F.struct("word", F.col("n") / F.col("total")))).alias("common")
     )
-    fields = ["docs", "n_chars", *CLASSES]
+    fields = ["docs", "n_chars", *KINDS]
     together = classes.agg(*[F.sum(c).alias(c) for c in fields]).withColumn("lang", F.lit(ALL))
     per = classes.where(F.col("lang") != ALL).join(F.broadcast(total)).where(F.col("docs") >= RARE * F.col("all_docs"))
     both = per.select("lang", *fields).unionByName(together.select("lang", *fields))
     size = F.greatest("n_chars", F.lit(1))
     return both.join(common, "lang", "left").select(
-        "lang", F.array(*[F.col(c) / size for c in CLASSES]).alias("shares"),
+        "lang", F.array(*[F.col(c) / size for c in KINDS]).alias("shares"),
         F.coalesce("common", F.create_map().cast("map<string,double>")).alias("common"),
     )
 
@@ -143,7 +151,7 @@ def judged(docs: DataFrame) -> DataFrame:
     absent = (F.col("common_share") - F.col("p")) / 2
     words = F.col("present") + absent + _part(F.greatest(F.lit(0.0), 1 - F.col("common_share")), F.greatest(F.lit(0.0), 1 - F.col("q")))
     size = F.greatest("n_chars", F.lit(1))
-    pairs = [(F.get("shares", F.lit(i)), F.col(c) / size) for i, c in enumerate(CLASSES)]
+    pairs = [(F.get("shares", F.lit(i)), F.col(c) / size) for i, c in enumerate(KINDS)]
     rest = [F.greatest(F.lit(0.0), 1 - reduce(Column.__add__, side)) for side in zip(*pairs, strict=True)]
     classes = reduce(Column.__add__, [_part(p, q) for p, q in [*pairs, tuple(rest)]])
     distances = found.withColumns({
