@@ -356,8 +356,13 @@ def fit(sample: list[str]) -> Labeller:
 
 
 def trained(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """A labeller fitted on the ``sample`` pages of least hash, a draw that no order of rows affects."""
-    rows = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS))
+    """A labeller fitted on the ``sample`` pages of least hash, a draw that no order of rows affects.
+
+    A share of the pages, eight samples large, goes into the draw, so partitions send few to the driver.
+    """
+    share = min(1.0, 8 * sample / max(1, pages.count()))
+    drawn = F.pmod(F.xxhash64("page_id", "html", F.lit("draw")), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS) & drawn)
     drawn = rows.orderBy(F.xxhash64("page_id", "html"), "html").select("html").limit(sample).collect()
     return fit([r["html"] for r in drawn])
 
