@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Nodes of a list's commonest component that the members outside it meet first.
+SAMPLED = 2
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -60,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen or not now[0]:
             break
         seen = now
@@ -68,45 +70,60 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(state.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def linked(index: DataFrame, ratio: tuple[int, int], verify: Callable[[DataFrame], DataFrame], hubs: int = 2) -> DataFrame:
-    """Components of the graph whose links ``verify`` confirms: columns node, root.
-
-    ``index`` has value, node, size: two nodes are compared if they share a value and the smaller
-    size is at least ratio[0]/ratio[1] of the larger. ``verify`` takes distinct pairs (a, b) and
-    returns those that hold. A list of one value may hold a third of all nodes, so pairs within a
-    list are never all emitted: first each member meets one hub of each of its lists, in ``hubs``
-    rounds with other hubs; then, in each list, members outside the list's commonest component
-    meet all members that are still in other components. Pairs left out are in one component
-    already, so the components are those of all pairs.
+def linked(
+    index: DataFrame,
+    ratio: tuple[int, int],
+    screen: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Components of the graph whose links ``confirm`` confirms: columns node, root.
+
+    ``index`` has value, node, size, weight: two nodes are compared if they share a value and the
+    smaller size is at least ratio[0]/ratio[1] of the larger. ``screen`` takes distinct pairs
+    (x, y) and returns those that may hold with a column ``score``; ``confirm`` returns those that do.
+
+    A list of one value may hold a third of all nodes, so pairs within a list are never all
+    emitted. First a member meets the hub of each of its lists, its node of greatest weight (an
+    original shares more values with others than its altered copies do), and the pair of best
+    score is confirmed. Then members outside their list's commonest component meet ``SAMPLED`` nodes
+    of that component, others in every list, and again the best pair is confirmed. At last members
+    outside a list's commonest component meet all members that are still in other components.
+    Pairs left out are in one component already, so the components are those of all pairs.
     """
     low, high = ratio
     fits = f"x.size * {high} >= y.size * {low} AND y.size * {high} >= x.size * {low}"
-    index = index.select("value", "node", "size")
-    roots, edges = None, None
-
-    def labelled() -> DataFrame:
-        if roots is None:
-            return index.withColumn("root", F.col("node"))
-        return index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    for turn in range(hubs + 1):
-        members = labelled()
-        if turn < hubs:
-            hub = members.groupBy("value").agg(
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("hub")
-            )
-            hub = hub.select("value", "hub.node", "hub.size", "hub.root")
-        else:
-            sizes = members.groupBy("value", "root").agg(F.count("*").alias("n"))
-            common = sizes.groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("common"))
-            hub = members.join(common, "value").where("root <> common").drop("common")
-        pairs = (
-            members.alias("x").join(hub.alias("y"), "value")
-            .where("x.root <> y.root").where(fits)
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            .distinct()
-        )
-        found = cut(verify(pairs))
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges)
-    return roots
+
+    def meet(members: DataFrame, others: DataFrame) -> DataFrame:
+        return members.alias("x").join(others.alias("y"), "value").where("x.root <> y.root").where(fits)
+
+    members = index.withColumn("root", F.col("node"))
+    hubs = members.groupBy("value").agg(F.max(F.struct("weight", "node", "size", "root")).alias("hub")).select("value", "hub.*")
+    pairs = meet(members, hubs).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+    best = screen(pairs).groupBy("x").agg(F.max_by("y", F.struct("score", "y")).alias("y"))
+    edges = cut(confirm(cut(best)))
+    roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    def apart() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """All members with their roots and the list's commonest root; those within it, those outside."""
+        members = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = members.groupBy("value", "root").agg(F.count("*").alias("n"))
+        common = sizes.groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("common"))
+        members = members.join(common, "value")
+        return members, members.where("root = common"), members.where("root <> common")
+
+    _, within, outside = apart()
+    drawn = within.groupBy("value", F.pmod(F.xxhash64("node", "value"), F.lit(SAMPLED)).alias("slot")).agg(
+        F.min(F.struct(F.xxhash64("value", "node").alias("h"), "node", "size", "root")).alias("one")
+    )
+    pairs = meet(outside, drawn.select("value", "one.node", "one.size", "one.root"))
+    pairs = pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+    best = screen(pairs).groupBy("x").agg(F.max_by("y", F.struct("score", "y")).alias("y"))
+    more = cut(confirm(cut(best)))
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(more.select(F.col("x").alias("a"), F.col("y").alias("b")).union(known))
+
+    members, _, outside = apart()
+    pairs = meet(members, outside).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
+    more = cut(confirm(cut(screen(pairs.distinct()).select("x", "y"))))
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(more.select(F.col("x").alias("a"), F.col("y").alias("b")).union(known))
