@@ -218,6 +218,57 @@ def test_simhash_is_close_for_close_lines():
     assert distance(0, 1) < 40 < 90 < distance(0, 2)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_lines_against_edit_similarity(spark):
+    """Lines with one changed word in about fifteen, of all usual lengths, and letters changed in short lines."""
+    rng = random.Random(5)
+    common = "the of and to in is that it was for".split()
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    lines = []
+    for n in [5, 6, 8, 10, 12, 16, 20, 30, 50, 80] * 12:
+        own = [rng.choice(common) if rng.random() < 0.3 else word() for _ in range(n)]
+        other = list(own)
+        for at in rng.sample(range(n), max(1, n // 15)):
+            other[at] = word() if n > 10 else other[at][:-1] + "q"
+        lines += [" ".join(own), " ".join(other)]
+    links = [
+        (i, j) for i, j in itertools.combinations(range(len(lines)), 2)
+        if lines[i] != lines[j] and 10 * min(map(len, (lines[i], lines[j]))) >= 9 * max(map(len, (lines[i], lines[j])))
+        and len(set(lines[i].split()) & set(lines[j].split())) * 2 >= len(set(lines[i].split()))
+        and 10 * edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))
+    ]
+    groups = {r["doc_id"]: r["group"] for r in line_dedup.line_groups(frame(spark, [(i, t, "en") for i, t in enumerate(lines)])).collect()}
+    assert len(links) > 90
+    missed = [(i, j) for i, j in links if groups[i] != groups[j]]
+    assert not missed
+    whole = plain_components(set(range(len(lines))), [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if (i, j) in set(links) or lines[i] == lines[j]])
+    assert len(set(groups.values())) == len(set(whole.values()))  # nothing else is linked
+
+
+def test_rarest_words():
+    """Lines that differ in ``changes`` words share one of their rarest, whatever the order of words is."""
+    rng = np.random.default_rng(4)
+    levels = rng.integers(0, 256, 1 << line_dedup.PLACE_BITS).astype(np.uint8)
+    for n in (5, 9, 30, 100):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        size = np.array([6 * n, 6 * n])
+        far = line_dedup.changes(np.array([n]), size[:1])[0]
+        assert far >= min(3, 6 * n // 9)
+        b = a.copy()
+        b[rng.permutation(n)[:far]] += np.uint64(1)
+        found, bounds = line_dedup.rarest(np.concatenate([a, b]), np.repeat([0, 1], n), size, levels)
+        assert list(np.diff(bounds)) == [far + 1, far + 1]
+        assert set(found[: far + 1]) & set(found[far + 1 :])
+
+
 def test_html_blocks():
     page = (
         "<!DOCTYPE html><title>no <b>t</b></title><script>var a='</p>'</script><nav><a href=/x>Menu</a></nav><article><h1>A &amp; B</h1>"
