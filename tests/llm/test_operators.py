@@ -269,6 +269,25 @@ def test_rarest_words():
         assert set(found[: far + 1]) & set(found[far + 1 :])
 
 
+def test_lines_of_scripts_without_spaces(spark):
+    rng = random.Random(6)
+    han, thai = ["".join(chr(rng.randrange(low, high)) for _ in range(40)) for low, high in ((0x4E00, 0x9000), (0x0E01, 0x0E2F))]
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40))
+    rows = [(1, han), (2, f"一{han[1:20]}二{han[21:]}"), (3, other), (4, thai), (5, f"{thai[:9]}{thai[10:]}"), (6, "四个字的"), (7, "四个字的"), (8, "x" * 90), (9, "x" * 90)]
+    groups = {r["doc_id"]: r["group"] for r in line_dedup.line_groups(frame(spark, [(i, t, "zh") for i, t in rows])).collect()}
+    assert set(groups) == {1, 2, 3, 4, 5}
+    assert groups[1] == groups[2] and groups[4] == groups[5] and len(set(groups.values())) == 3
+
+
+def test_parted():
+    texts = ["a中b 文字c", "", None, "ขa é Ⴀ ក", "𠀀x", "일 이 😀", "中"]
+    data, starts, ends, _ = line_dedup.word_spans(pa.array(texts), alphanumeric=True)
+    begins, stops, unspaced = line_dedup.parted(data, starts, ends)
+    got = [bytes(data[i:j]).decode() for i, j in zip(begins, stops, strict=True)]
+    assert got == ["a", "中", "b", "文", "字", "c", "ข", "a", "é", "Ⴀ", "ក", "𠀀", "x", "일", "이", "😀", "中"]
+    assert [t for t, u in zip(got, unspaced, strict=True) if u] == ["中", "文", "字", "ข", "ក", "𠀀", "中"]
+
+
 def test_html_blocks():
     page = (
         "<!DOCTYPE html><title>no <b>t</b></title><script>var a='</p>'</script><nav><a href=/x>Menu</a></nav><article><h1>A &amp; B</h1>"
