@@ -3,7 +3,9 @@
 Sparse multinomial logistic regression over TF-IDF weighted character 1- to 3-grams of words,
 fitted by follow-the-regularised-leader with elastic-net penalties, then calibrated by one
 temperature on rows kept from the fit. Document frequencies come from all labelled texts; the
-regression is fitted on a bounded sample of them (``SAMPLE`` rows, equally many per language).
+regression is fitted on a sample of them, equally many per language: ``SAMPLE`` rows in all, but ``EACH``
+per language where that is more. Every language is learned, so the sample and the weights grow with
+their number, not with the rows.
 
 Results in edge cases: a null text, or one without letters, is ``und`` with score 0. Without any
 labelled row every text is ``und``. Null doc_ids count as the empty string where rows are
@@ -23,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed features, and labelled rows that the regression is fitted on.
-FEATURES, SAMPLE = 1 << 15, 1600
+#: Hashed features, labelled rows that the regression is fitted on, and rows per language at least.
+FEATURES, SAMPLE, EACH = 1 << 15, 1600, 200
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-3, 3
 NONE = "und"
 AT_ONCE = 1 << 19
@@ -158,23 +160,23 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``labelled`` (doc_id, text, lang); the fit itself reads about ``sample`` rows."""
+    """A model from ``labelled`` (doc_id, text, lang); the fit itself reads about ``sample`` rows, or EACH per language."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     found = labelled.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     seen = np.zeros(FEATURES + 1)
     for r in found.collect():  # at most FEATURES + 1 rows
         seen[r["feature"]] = r["n"]
     idf = np.log((1 + seen[FEATURES]) / (1 + seen[:FEATURES])) + 1
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, sample // 8)).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # one row per language
     languages = sorted(r["lang"] for r in sizes)
-    each = max(8, sample // max(1, len(sizes)))
+    each = max(EACH, sample // max(1, len(sizes)))
     rows = []
     if sizes:
         spark = labelled.sparkSession
         shares = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
         # a large group of copies is drawn in its share; the limit holds whatever the rows are
         draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
-        picked = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).limit(2 * sample)
+        picked = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).limit(2 * each * len(sizes))
         for r in picked.select("text", "lang").mapInArrow(_vectors(idf), "lang string, at array<int>, weights array<float>").collect():
             rows.append((np.array(r["at"]), np.array(r["weights"], float), languages.index(r["lang"])))
     rows.sort(key=lambda r: (float(r[1][0]), len(r[0]), r[2]))

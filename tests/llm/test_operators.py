@@ -375,6 +375,17 @@ def test_language(spark, sf_dir):
     assert frame(spark, ODD[:1]).select(language.identify(empty, F.col("text"), spark).alias("f")).first()["f"]["lang"] == "und"
 
 
+def test_every_language_is_learned(spark):
+    letters = {f"l{k}": [chr(0x3B1 + 60 * k + j) for j in range(12)] for k in range(5)}
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(12)), lang) for i, lang in enumerate(list(letters) * 15)]
+    docs = frame(spark, rows)
+    model = language.fit(docs, sample=16)
+    assert model.languages == sorted(letters)
+    found = docs.select("lang", language.identify(model, F.col("text"), spark)["lang"].alias("got")).collect()
+    assert all(r["lang"] == r["got"] for r in found)
+
+
 def test_ftrl_separates():
     rows = [(np.array([k, 5]), np.array([1.0, 0.5]), k % 3) for k in [0, 1, 2] * 20]
     weights = language.ftrl(rows, 8, 3)
