@@ -1,8 +1,8 @@
 """Benchmark decontamination (operator 5).
 
-Items are partitioned by size class (powers of two of their number of shingles). A class keeps
-the ``K`` least hash values of each item as its MinHash sketch, and the greatest of them bounds
-the values that a document has to offer for that class. The share of an item's sketch found in a
+The ``K`` least hash values of each item are its MinHash sketch, and the greatest of any item's
+bounds the values that a document has to offer. Items are not partitioned by size: one bound, one
+bitmap and one join on the value serve them all. The share of an item's sketch found in a
 document estimates its containment there, however long the document; exact containment of the
 item's whole shingle set confirms. Documents test their values on a bitmap of fixed size, so what
 tasks receive doesn't grow with the items, and only hits are shuffled.
@@ -53,7 +53,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hits(words: dict[int, int], bits: int, bounds: list[int]):
-    """Values of each document that are within a class's bound and on the bitmap."""
+    """Values of each document that are within the greatest bound and on the bitmap."""
     top = max(bounds, default=-1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
