@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credscan.llm import (
-    chat, contamination, divergence, interpolation, language, line_dedup, near_dup, packing, pages, token_counts,
+    chat, contamination, divergence, interpolation, language, line_dedup, mixing, near_dup, packing, pages, prefix_trie,
+    ranked_search, token_counts,
 )
 
 
@@ -70,6 +71,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "place", "turn", "role", "action", "rendered")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "size", F.col("source_size"), "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.turns(conversations), conversations))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +96,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: Words as the contracts define them, A-Z lowered.
@@ -114,4 +132,63 @@ n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_item_shingles, count(*) AS n_shared, count(*) / n.n AS containment
 FROM s d JOIN s i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id
 GROUP BY d.id, i.id, n.n HAVING 5 * count(*) >= 4 * n.n""",
+    "op11_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 16) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, sum(words) OVER () - 3 * coalesce(sum(words) OVER b, 0) AS words_left, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS w_left
+      FROM s WINDOW b AS (ORDER BY words::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 3 * words * w_left < w * words_left AS is_full FROM o),
+r AS (SELECT sum(words) - coalesce(sum(3 * words) FILTER (is_full), 0) AS words_left, sum(w) FILTER (NOT is_full) AS w_left FROM f),
+t AS (SELECT source, words, CASE WHEN is_full THEN CAST(3 * words AS DOUBLE)
+        ELSE CAST(r.words_left AS DOUBLE) * CAST(w AS DOUBLE) / CAST(r.w_left AS DOUBLE) END AS target FROM f, r),
+b AS (SELECT *, CAST(floor(target) AS BIGINT) AS budget FROM t),
+e AS (SELECT *, CASE WHEN words > 0 THEN budget // words ELSE 0 END AS epochs FROM b),
+k AS (SELECT source, key, sum(size) AS there FROM d GROUP BY source, key),
+p AS (SELECT source, key, there, sum(there) OVER (PARTITION BY source ORDER BY key) - there AS before FROM k)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, e.words AS source_size, e.target,
+    CAST(e.epochs * d.size + greatest(0, least(p.there, e.budget - e.epochs * e.words - p.before)) * d.size // greatest(p.there, 1) AS BIGINT) AS taken
+FROM d JOIN e ON e.source IS NOT DISTINCT FROM d.source JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.key = d.key""",
+    "op12_prefix_trie": r"""
+WITH n AS (SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+            md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+      FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT c, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])) AS l
+         FROM (SELECT DISTINCT c FROM n)),
+hs AS (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, l::BIGINT[]),
+        lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h FROM bits),
+own AS (SELECT c, list(struct_pack(role := role, text := text) ORDER BY place) AS l FROM n GROUP BY c),
+seq AS (SELECT hs.c, list_concat(coalesce(list_slice(b.l, 1, h), []), list_slice(own.l, h + 1, len(own.l))) AS s
+        FROM hs JOIN own USING (c) LEFT JOIN own b ON b.c = hs.c - hs.c % 5),
+occ AS (SELECT c, len(s) AS length, unnest(range(0, len(s) + 1)) AS depth, s FROM seq),
+pre AS (SELECT c, length, depth, list_slice(s, 1, depth) AS p, CASE WHEN depth = 0 THEN '' ELSE s[depth].text END AS last FROM occ),
+node AS (SELECT depth, p, min(c) AS conv_id, count(*) AS n_convs, any_value(strlen(last)) AS n_bytes,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (length = depth), '')) AS ends_sha256
+      FROM pre GROUP BY depth, p),
+up AS (SELECT conv_id, depth, p, unnest(range(0, depth + 1)) AS d FROM node),
+kids AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+val AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.p = node.p),
+sums AS (SELECT list_slice(up.p, 1, d) AS p, sum((val.n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * n_bytes) AS saved
+         FROM up JOIN val ON val.p = up.p GROUP BY 1)
+SELECT val.conv_id, CAST(val.depth AS BIGINT) AS depth, par.conv_id AS parent_conv_id, val.n_convs, val.n_children,
+    CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, val.ends_sha256
+FROM val JOIN sums ON sums.p = val.p LEFT JOIN node par ON val.depth > 0 AND par.p = list_slice(val.p, 1, val.depth - 1)""",
+    "op13_ranked_search": r"""
+WITH x AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents
+           UNION ALL SELECT 'q', item_id, row_number() OVER (), text FROM benchmark),
+v AS (SELECT kind, id, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM x),
+tf AS (SELECT kind, id, r, term, count(*) AS tf FROM v GROUP BY ALL),
+n AS (SELECT r, sum(tf) AS n FROM tf WHERE kind = 'd' GROUP BY r),
+g AS (SELECT count(*) AS docs, sum(n) AS terms FROM n),
+m AS (SELECT r, 75 + (25 * n * docs) // terms AS m FROM n, g),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM tf, g WHERE kind = 'd' GROUP BY term),
+s AS (SELECT q.id AS item_id, q.r AS q, d.id AS doc_id, CAST(sum(q.tf * w.w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * m.m))) AS BIGINT) AS score
+      FROM tf q JOIN tf d ON q.kind = 'q' AND d.kind = 'd' AND q.term = d.term JOIN m ON m.r = d.r JOIN w ON w.term = q.term
+      GROUP BY q.id, q.r, d.id, d.r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
 }
