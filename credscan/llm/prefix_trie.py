@@ -6,7 +6,7 @@ the sum of 120-bit digests of its turns with their places, which blocks of turns
 sum; two sequences meet by chance with odds of about 2 ** -120.
 
 Subtree sums come from centroid decomposition of the parent-edge forest, one level for all
-components at a time. The nodes of a component whose subtrees hold over half of its weight (its
+components at a time, by joins while components are large and within tasks from then on. The nodes of a component whose subtrees hold over half of its weight (its
 members' turns) form a path from its top; the deepest is the centroid. Its subtree's totals are
 one aggregate; they are added to the nodes of that path, centroid included, and the path's weights
 shrink by the centroid's. Without the centroid the component falls into the subtrees of its
@@ -24,8 +24,9 @@ empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from credscan.llm.cluster import cut, partitions
 BLOCK = 4096
 #: Rows up to which a table of centroids is broadcast (at most 40 bytes each).
 SMALL = 100_000
+#: Nodes up to which a component is finished whole, and the rows of such components that a task takes at a time.
+SPLIT, AT_ONCE = 2_000, 100_000
 #: Characters of member ids that are handed on in one piece.
 PIECE = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -172,42 +175,128 @@ def ends(occurring: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_hashed, "node long, depth long, ends_sha256 string")
 
 
+def _split(top: np.ndarray, depth: np.ndarray, node: np.ndarray, parent: np.ndarray, weight: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Subtree sums within whole components, all of them at once, each level as in ``subtree_sums``.
+
+    Rows are sorted by component ``top`` (any numbers), depth and node.
+    """
+    n = len(node)
+    names, ids = np.unique(np.concatenate([node, parent]), return_inverse=True)
+    depths, level = np.unique(depth, return_inverse=True)
+    code = (top * (len(depths) + 1) + level) * len(names) + ids[:n]
+    above = (top * (len(depths) + 1) + level - 1) * len(names) + ids[n:]
+    at = np.minimum(np.searchsorted(code, above), n - 1)
+    follows = np.zeros(n, bool)
+    follows[1:] = (top[1:] == top[:-1])  # a component's first row is its top
+    up = np.where(follows & (code[at] == above), at, -1)
+    steps = np.split(np.argsort(level, kind="stable"), np.cumsum(np.bincount(level))[:-1])
+    label, alive, weight = _labels(up, steps), np.ones(n, bool), weight.copy()
+    sums = [np.zeros(n, np.int64) for _ in values]
+    while alive.any():
+        path = alive & (2 * weight > weight[label])
+        deepest = np.full(n, -1)
+        np.maximum.at(deepest, label[path], np.flatnonzero(path))
+        centroid = deepest[label]
+        centroids = deepest[deepest >= 0]
+        up[(up >= 0) & np.isin(up, centroids)] = -1
+        before, label = label, _labels(up, steps)
+        beneath = alive & ((label != before) | (np.arange(n) == centroid))
+        for own, out in zip(values, sums, strict=True):
+            totals = np.zeros(n, np.int64)
+            np.add.at(totals, before[beneath], own[beneath])
+            out[path] += totals[before[path]]
+        alive[centroids] = False
+        shrunk = path & alive
+        weight[shrunk] -= weight[centroid[shrunk]]
+    return sums
+
+
+def _labels(up: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """The top of each row's piece: itself without a parent, else the parent's."""
+    label = np.arange(len(up))
+    for rows in steps:
+        rows = rows[up[rows] >= 0]
+        label[rows] = label[up[rows]]
+    return label
+
+
+def _finished(values: list[str]) -> Callable:
+    """Subtree sums of rows that are sorted by component; a component is never parted."""
+    names = ["node", "depth", *values]
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        columns = {c: rows.column(c).to_numpy() for c in ("top", "top_depth", "depth", "node", "weight", *values)}
+        parent = rows.column("parent").fill_null(0).to_numpy()
+        new = np.ones(len(parent), bool)
+        new[1:] = (columns["top"][1:] != columns["top"][:-1]) | (columns["top_depth"][1:] != columns["top_depth"][:-1])
+        sums = _split(np.cumsum(new) - 1, columns["depth"], columns["node"], parent, columns["weight"], [columns[v] for v in values])
+        return pa.record_batch([pa.array(x) for x in (columns["node"], columns["depth"], *sums)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < AT_ONCE:
+                continue
+            rows = pa.Table.from_batches(held)
+            top, depth = (rows.column(c).to_numpy() for c in ("top", "top_depth"))
+            last = np.flatnonzero((top != top[-1]) | (depth != depth[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0
+            if whole:
+                yield solved(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield solved(pa.Table.from_batches(held))
+
+    return run
+
+
 def subtree_sums(nodes: DataFrame, members: DataFrame, values: list[str]) -> DataFrame:
     """Sums of ``values`` over the subtree of each node, by centroid decomposition.
 
     ``nodes`` (node, depth, parent, weight, values) names a node by ``node`` and ``depth``, its parent
     by ``parent`` and the depth above; weight is a subtree's, which is known beforehand. ``members``
-    (conv_id, node, depth, parent) has a row for each node on the path of each name.
+    (conv_id, node, depth, parent) has a row for each node on the path of each name. Components of
+    more than ``SPLIT`` nodes are split by joins; the others are finished whole in tasks that take many.
     Returns node, depth and the sums.
     """
     root = nodes.where("depth = 0").select(F.col("node").alias("root"))
-    state = cut(nodes.join(F.broadcast(root)).select("node", "depth", F.col("root").alias("top"), F.lit(0).cast("long").alias("top_depth"), "weight", *values))
-    component, found = ["top", "top_depth"], []
-    while state.limit(1).count():
-        totals = _light(cut(state.where("node = top AND depth = top_depth").select(*component, F.col("weight").alias("total"))))
-        path = state.join(totals, component).where("2 * weight > total")
-        deepest = path.groupBy(*component).agg(F.max(F.struct("depth", "node", "weight")).alias("c"), F.first("total").alias("total"))
-        centroids = cut(
-            deepest.select(*component, F.col("c.node").alias("centroid"), F.col("c.depth").alias("at"), F.col("c.weight").alias("less"), "total")
-        )
-        near = _light(centroids)
+    columns = ["top", "top_depth", "depth", "node", "parent", "weight", *values]
+    state = nodes.join(F.broadcast(root)).select(F.col("root").alias("top"), F.lit(0).cast("long").alias("top_depth"), *columns[2:])
+    component, found, small = ["top", "top_depth"], [], []
+    state = cut(state)
+    while True:
+        sizes = state.groupBy(*component).agg(F.max("weight").alias("total"), F.count("*").alias("n"))
+        large = _light(cut(sizes.where(F.col("n") > SPLIT).drop("n")))
+        small.append(state.join(large, component, "left_anti"))
+        if large.limit(1).count() == 0:
+            break
+        state = state.join(large, component)
+        deepest = state.where("2 * weight > total").groupBy(*component, "total").agg(F.max(F.struct("depth", "node", "weight")).alias("c"))
+        centroids = _light(cut(deepest.select(*component, F.col("c.node").alias("centroid"), F.col("c.depth").alias("at"), F.col("c.weight").alias("less"))))
         # for each name, the child of its component's centroid that it passes
-        below = members.join(near.select(*component, F.col("centroid").alias("parent"), (F.col("at") + 1).alias("depth")), ["parent", "depth"])
+        children = centroids.select(*component, F.col("centroid").alias("parent"), (F.col("at") + 1).alias("depth"))
+        below = members.join(_light(children), ["parent", "depth"])
         below = below.select(*component, F.col("conv_id").alias("node"), F.col("node").alias("child"))
-        state = state.join(near, component).join(below, [*component, "node"], "left")
-        on_path, is_centroid = F.expr("2 * weight > total"), F.expr("node = centroid AND depth = at")
-        state = cut(
-            state.withColumns({"beneath": F.expr("child IS NOT NULL AND depth > at"), "on_path": on_path, "is_centroid": is_centroid})
-        )
+        state = state.join(centroids, component).join(below, [*component, "node"], "left")
+        state = cut(state.withColumns({
+            "beneath": F.expr("child IS NOT NULL AND depth > at"), "on_path": F.expr("2 * weight > total"),
+            "is_centroid": F.expr("node = centroid AND depth = at"),
+        }))
         sums = state.where("beneath OR is_centroid").groupBy(*component).agg(*[F.sum(v).alias(f"sum_{v}") for v in values])
-        found.append(cut(state.where("on_path").select("node", "depth", *component).join(sums, component).select("node", "depth", *[F.col(f"sum_{v}").alias(v) for v in values])))
+        path = state.where("on_path").select("node", "depth", *component).join(sums, component)
+        found.append(path.select("node", "depth", *[F.col(f"sum_{v}").alias(v) for v in values]))
         state = state.where("NOT is_centroid").select(
-            "node", "depth", F.when(F.col("beneath"), F.col("child")).otherwise(F.col("top")).alias("top"),
-            F.when(F.col("beneath"), F.col("at") + 1).otherwise(F.col("top_depth")).alias("top_depth"),
+            F.when(F.col("beneath"), F.col("child")).otherwise(F.col("top")).alias("top"),
+            F.when(F.col("beneath"), F.col("at") + 1).otherwise(F.col("top_depth")).alias("top_depth"), "depth", "node", "parent",
             F.when(F.col("on_path"), F.col("weight") - F.col("less")).otherwise(F.col("weight")).alias("weight"), *values,
         )
-    every = found[0]
-    for more in found[1:]:
+    rest = small[0].select(*columns)
+    for more in small[1:]:
+        rest = rest.unionByName(more.select(*columns))
+    rest = rest.repartition(partitions(nodes.sparkSession), *component).sortWithinPartitions(*columns[:4])
+    every = rest.mapInArrow(_finished(values), "node long, depth long, " + ", ".join(f"{v} long" for v in values))
+    for more in found:
         every = every.unionByName(more)
     return every.groupBy("node", "depth").agg(*[F.sum(v).alias(v) for v in values])
 
