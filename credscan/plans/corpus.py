@@ -462,8 +462,21 @@ PATCHES: dict[str, tuple[tuple[int, str | None, str | None, str], ...]] = {
 }
 
 
+#: Parents by event: of eight commits the fourth and fifth are a branch off the third, which the sixth
+#: merges; every fifth branch is left unmerged.
+PARENT_NUMBERS = (
+    ("event_id = 0", ()), ("event_id % 8 = 5 AND event_id // 8 % 5 = 0", (3,)),
+    ("event_id % 8 = 5", (3, 1)), ("true", (1,)),
+)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per event, in event order, at the event's time."""
+    sha = "concat(md5(concat('commit-', {0})), substr(md5(concat('', {0})), 1, 8))"
+    parents = " ".join(
+        f"WHEN {test.replace('//', 'div')} THEN CAST(array({', '.join(sha.format(f'event_id - {back}') for back in backs)}) AS array<string>)"
+        for test, backs in PARENT_NUMBERS
+    )
     return table(spark, sf_dir, "events").selectExpr(
         "concat(md5(concat('commit-', event_id)), substr(md5(concat('', event_id)), 1, 8)) AS sha",
         "event_id AS seq",
@@ -471,6 +484,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('dev', user_id) AS author_name",
         "concat('dev', user_id, '@example.org') AS author_email",
         "CAST(ts AS timestamp) AS committed_at",
+        f"CASE {parents} END AS parents",
     )
 
 

@@ -16,7 +16,7 @@ from credscan.functions.text import LINE_BREAK, WORD, WS, WS_CHARS
 from credscan.operators import legacy as L
 from credscan.operators.evaluate import BASELINES
 from credscan.operators.risk import CONFIGURATIONS
-from credscan.plans.corpus import FILES, FIRST_PLANTED, PATCHES, SCENARIOS, _DIGEST, filled
+from credscan.plans.corpus import FILES, FIRST_PLANTED, PARENT_NUMBERS, PATCHES, SCENARIOS, _DIGEST, filled
 from credscan.plans.queries import FLAG_COLUMNS, HISTORY, MATCH
 from credscan.rules import RULES
 from credscan.sources import paths
@@ -512,7 +512,17 @@ ORACLES["history_findings"] = build(
 ORACLES["recent_commits"] = build(
     f"""SELECT {H}, combined_score, seq FROM history
     WHERE seq IN (SELECT seq FROM log ORDER BY committed_at DESC, seq DESC LIMIT 500)""", "history")
-ORACLES["range_findings"] = build(f"SELECT {H}, combined_score, seq FROM history WHERE seq > 10", "history")
+_parents = " UNION ALL ".join(
+    f"SELECT event_id AS child, event_id - {back} AS parent FROM events WHERE {test}"
+    + "".join(f" AND NOT ({earlier})" for earlier, _ in PARENT_NUMBERS[:i])
+    for i, (test, backs) in enumerate(PARENT_NUMBERS) for back in backs
+)
+cte("parent", _parents)
+for _name, _tip in (("before", "SELECT 11"), ("upto", "SELECT max(event_id) FROM events WHERE event_id % 8 < 3")):
+    cte(_name, f"""WITH RECURSIVE r(e) AS ({_tip} UNION SELECT parent.parent FROM r JOIN parent ON child = e) SELECT e FROM r""", "parent")
+ORACLES["range_findings"] = build(
+    f"""SELECT {H}, combined_score, seq FROM history WHERE seq IN (SELECT e FROM upto) AND seq NOT IN (SELECT e FROM before)""",
+    "history", "before", "upto")
 cte("first_seen", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path, secret
     ORDER BY seq, combined_score DESC, line_no, rule_ord, match_ord) AS rn FROM history) WHERE rn = 1""", "history")
 ORACLES["first_exposures"] = build(f"SELECT {H}, combined_score, seq FROM first_seen", "first_seen")

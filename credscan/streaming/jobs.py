@@ -3,24 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder. A local
-    session that names none gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="credscan-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+from credscan.sources.store import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credscan.operators import evaluate, history, models, risk, scan
+from credscan.operators.ancestry import reachable
 from credscan.operators.matches import matches
 from credscan.plans.corpus import scenarios, sources
 from credscan.plans.queries import QUERIES, _judged
@@ -165,8 +166,32 @@ def test_history_keeps_the_oldest_exposure(spark):
     first = {(r["file_path"], r["seq"], r["line_approx"], r["message"]) for r in history.first_exposures(all_found).collect()}
     assert first == {("a.py", 1, 8, "m1"), ("b.py", 4, 8, "m4")}
     assert [r["seq"] for r in history.recent(commits, 2).collect()] == [4, 3]
-    chosen = history.commit_range(commits, "1" * 40, "3" * 40)
-    assert sorted(r["seq"] for r in chosen.collect()) == [2, 3]
+
+
+def test_commit_range_over_merges(spark):
+    rng = random.Random(2)
+    parents = {0: []}
+    for i in range(1, 90):  # merges of two and three, several roots, a parent that isn't in the table
+        parents[i] = rng.sample(range(max(0, i - 9), i), min(i, rng.choice([1, 1, 1, 2, 3]))) if i % 40 else []
+    parents[50].append(1000)
+    log = spark.createDataFrame([(f"c{i}", [f"c{p}" for p in ps]) for i, ps in parents.items()], "sha string, parents array<string>")
+
+    def ancestors(i):
+        seen, todo = set(), [i]
+        while todo:
+            if (x := todo.pop()) not in seen and x in parents:
+                seen.add(x)
+                todo += parents[x]
+        return seen
+
+    tips = (89, 70, 3)
+    for tip, found in zip(tips, reachable(log, *[f"c{t}" for t in tips]), strict=True):
+        got = [r["sha"] for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == {f"c{i}" for i in ancestors(tip)}
+    got = {r["sha"] for r in history.commit_range(log, "c70", "c89").collect()}
+    assert got == {f"c{i}" for i in ancestors(89) - ancestors(70)}
+    with pytest.raises(ValueError, match="no such commit: c900"):
+        history.commit_range(log, "c900", "c3")
 
 
 def test_files_and_findings_sink(spark, tmp_path):
