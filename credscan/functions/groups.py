@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +89,48 @@ def block_bounds(marks: Column, line_no: Column) -> Column:
     )
 
 
+def _counts(places: Column, queries: Column) -> Column:
+    """For each of ascending ``queries`` how many of ascending ``places`` are not above it: in one
+    sorted array of both, all that is before a query but the queries."""
+    mixed = F.sort_array(F.concat(
+        F.transform(places, lambda x: F.struct(x.alias("at"), F.lit(0).alias("kind"))),
+        F.transform(queries, lambda x: F.struct(x.alias("at"), F.lit(1).alias("kind"))),
+    ))
+    numbered = F.transform(mixed, lambda x, p: F.struct(x["kind"].alias("kind"), p.alias("p")))
+    return F.transform(F.filter(numbered, lambda x: x["kind"] == 1), lambda x, j: x["p"] - j)
+
+
+def blocks_around(lines: Column, line_nos: Column) -> Column:
+    """:func:`block_bounds` of ascending line numbers, in time in proportion to the text."""
+
+    def places(test: Callable[[Column], Column]) -> Column:
+        marked = F.transform(lines, lambda line, i: F.when(test(strip(line)), i + 1))
+        return F.filter(marked, lambda at: at.isNotNull())
+
+    def bounds(openers: Column, blanks: Column, enders: Column) -> Column:
+        above = F.transform(line_nos, lambda n: n - 2)
+        counts = F.struct(
+            _counts(openers, line_nos).alias("openers"), _counts(blanks, above).alias("blanks"), _counts(enders, line_nos).alias("enders"),
+        )
+
+        def of(n: Column, j: Column, c: Column) -> Column:
+            opener = F.coalesce(F.get(openers, F.get(c["openers"], j) - 1), F.lit(0))
+            blank = F.coalesce(F.get(blanks, F.get(c["blanks"], j) - 1), F.lit(0))
+            first = F.when((opener == 0) & (blank == 0), n).otherwise(
+                F.greatest(opener, F.when(blank > 0, blank + 1).otherwise(0))
+            )
+            return F.struct(
+                first.cast("int").alias("first"),
+                F.coalesce(F.get(enders, F.get(c["enders"], j)) - 1, F.size(lines)).cast("int").alias("last"),
+            )
+
+        return let(counts, lambda c: F.transform(line_nos, lambda n, j: of(n, j, c)))
+
+    return let(places(lambda s: starts_with_any(s, BLOCK_OPENERS)), lambda openers:
+               let(places(lambda s: s == F.lit("")), lambda blanks:
+                   let(places(lambda s: starts_with_any(s, BLOCK_ENDERS)), lambda enders: bounds(openers, blanks, enders))))
+
+
 def block_text(lines: Column, bounds: Column) -> Column:
     return F.array_join(
         F.slice(lines, bounds["first"], bounds["last"] - bounds["first"] + 1), "\n"

@@ -9,6 +9,7 @@ from credscan.functions.sqltext import quote
 from credscan.functions.text import let
 
 SECRET_PROBABILITY = 0.55
+SIGNAL_MODEL = "heuristic_fallback"
 
 # Signals and weights in hundredths (fixed values).
 POSITIVE_SIGNALS = (
@@ -44,7 +45,7 @@ def classify_group(group: Column) -> Column:
     return let(group, lambda g: labelled(
         group_size=F.size(g),
         probability=signal_score(F.array_join(g, " ")),
-        model="heuristic_fallback",
+        model=SIGNAL_MODEL,
     ))
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credscan.functions import suppress as P
+from credscan.functions.blocks import runs
 from credscan.functions.entropy import round3
-from credscan.functions.groups import block_bounds, block_marks, block_text, string_group
+from credscan.functions.groups import block_text, blocks_around, string_group
 from credscan.functions.signals import labelled
 from credscan.operators.evaluate import confusion, ratio
 from credscan.operators.matches import candidate_lines_sql, explode_late, hit_lines_sql
@@ -31,23 +32,24 @@ def hit_contexts(
     """One row per hit line: its matches, the bounds and text of the block
     around it, and the block's string group.
 
-    For classifiers that need the group itself as a column. Each context is
-    built as its row streams by, so memory holds one at a time.
+    For classifiers that need the group itself as a column. Blocks are rows before their contexts
+    are built, so a context is built once and memory holds one at a time.
     """
     cols = (*keep, "file_path")
     staged = prepared(df, text, path).select(*cols, F.expr(candidate_lines_sql(text)).alias("lines"))
     staged = staged.select(*cols, "lines", F.expr(hit_lines_sql("lines")).alias("hits"))
-    staged = staged.select(
-        *cols, "lines", "hits", F.when(F.size("hits") > 0, block_marks(F.col("lines"))).alias("marks")
-    )
-    by_line = explode_late(staged, "hits", "hit", *cols, "lines", "marks")
-    by_line = by_line.select(
-        *cols, "lines", "hit.line_no", "hit.at", "hit.line", "hit.matches",
-        block_bounds(F.col("marks"), F.col("hit.line_no")).alias("bounds"),
-    )
+    numbers = F.transform("hits", lambda hit: hit["line_no"])
+    staged = staged.select(*cols, "lines", "hits", F.when(F.size("hits") > 0, blocks_around(F.col("lines"), numbers)).alias("bounds"))
+    keyed = F.sort_array(F.transform("bounds", lambda b, i: F.struct(b.alias("bounds"), i.alias("i"))))
+    blocks = F.transform(runs(keyed, lambda k: k["bounds"]), lambda run: F.struct(
+        F.get(run, F.lit(0))["bounds"].alias("bounds"), F.transform(run, lambda k: F.get("hits", k["i"])).alias("hits"),
+    ))
+    by_block = explode_late(staged.select(*cols, "lines", blocks.alias("blocks")), "blocks", "b", *cols, "lines")
+    by_block = by_block.select(*cols, "b.bounds", block_text(F.col("lines"), F.col("b.bounds")).alias("context"), "b.hits")
+    by_line = by_block.select(*cols, "bounds", "context", F.explode("hits").alias("hit"))
+    by_line = by_line.select(*cols, "hit.line_no", "hit.at", "hit.line", "hit.matches", "bounds", "context")
     return by_line.select(
-        *cols, "line_no", "at", "line", "matches", "bounds",
-        block_text(F.col("lines"), F.col("bounds")).alias("context"),
+        *cols, "line_no", "at", "line", "matches", "bounds", "context",
     ).select("*", string_group(F.col("context")).alias("string_group"))
 
 

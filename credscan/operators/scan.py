@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from credscan.functions import score as S
 from credscan.functions import suppress as P
+from credscan.functions.blocks import block_verdicts
 from credscan.functions.entropy import PLACEHOLDER_TRANSITION, evaluate_entropy
-from credscan.functions.groups import block_bounds, block_marks, block_text, string_group
-from credscan.functions.signals import classify_group
+from credscan.functions.groups import blocks_around
 from credscan.functions.text import let, strip
 from credscan.operators.matches import (
     MATCH_TYPE,
@@ -105,28 +105,24 @@ def _without_vetoed(entropy_on: bool) -> Column:
 def _with_verdicts(with_facts: bool) -> Column:
     """Hit lines with the classifier's verdict ``l3`` on the block around each.
 
-    Lines of one block share its verdict, which is worked out once however
-    many hits the block has.
+    Lines of one block share its verdict, and blocks of one end are read together.
     """
     lines, hits = F.col("lines"), F.col("hits")
 
-    def attach(bounds: Column, blocks: Column, verdicts: Column) -> Column:
+    def attach(verdicts: Column) -> Column:
         facts = ["facts"] if with_facts else []
         return F.transform(
             hits,
             lambda hit, i: F.struct(
                 *[hit[c].alias(c) for c in ("line_no", "at", "line", "matches", *facts)],
-                F.get(verdicts, (F.array_position(blocks, F.get(bounds, i)) - 1).cast("int")).alias("l3"),
+                F.get(verdicts, i).alias("l3"),
             ),
         )
 
     return F.when(
         F.size(hits) > 0,
-        let(block_marks(lines), lambda marks:
-            let(F.transform(hits, lambda hit: block_bounds(marks, hit["line_no"])), lambda bounds:
-                let(F.array_distinct(bounds), lambda blocks:
-                    let(F.transform(blocks, lambda b: classify_group(string_group(block_text(lines, b)))),
-                        lambda verdicts: attach(bounds, blocks, verdicts))))),
+        let(blocks_around(lines, F.transform(hits, lambda hit: hit["line_no"])), lambda bounds:
+            let(block_verdicts(lines, bounds), attach)),
     )
 
 

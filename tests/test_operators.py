@@ -7,6 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from credscan.functions import blocks, groups
+from credscan.functions.signals import classify_group
 from credscan.operators import evaluate, history, models, risk, scan
 from credscan.operators.ancestry import reachable
 from credscan.operators.matches import matches
@@ -117,6 +119,45 @@ def test_one_text_with_very_many_hits(spark):
     assert got == {0: 3000, 1: 2000}
 
 
+def test_every_line_a_hit_and_no_function_marks(spark):
+    """Every hit opens a block to the end of the text; the time must follow the text, not its square."""
+    many = "\n".join(f'pwd = "{i:040x}" https://x.org/{i % 50}' for i in range(30_000))
+    row = risk.risk(docs(spark, many)).first()
+    assert row["n_matches"] == 30_000
+    few = "\n".join(many.splitlines()[-40:])
+    by_line = {r["line_no"]: r["classifier_score"] for r in scan.scan(docs(spark, few)).collect()}
+    assert len(by_line) == 40 and len(set(by_line.values())) == 1
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_verdicts_on_many_blocks(spark, monkeypatch, few):
+    """Blocks read together beside blocks read one by one, with quotes paired in every way."""
+    monkeypatch.setattr(blocks, "FEW", few)
+    rng = random.Random(1)
+    bits = ['"abc"', "'xyz'", '"', "'", "\\", " ", "private", '"private"', '"key x"', "https://a.b/c", '"aws s3"', "test", '"example', "mock'", '\"""', "api.", "\ufdd0"]
+    rows = []
+    for i in range(60):
+        n = rng.randint(1, 40)
+        lines = ["".join(rng.choice(bits[: 16 + (i % 9 == 0)]) for _ in range(rng.randint(0, 5))) for _ in range(n)]
+        bounds = [(max(1, k - rng.choice([0, 0, 0, 1, 3])), n if rng.random() < 0.8 else min(n, k + 2)) for k in range(1, n + 1) if rng.random() < 0.7]
+        rows.append((lines, bounds))
+    df = spark.createDataFrame(rows, "lines array<string>, bounds array<struct<first:int,last:int>>")
+    alone = F.transform("bounds", lambda b: classify_group(groups.string_group(groups.block_text(F.col("lines"), b))))
+    for r in df.select(blocks.block_verdicts(F.col("lines"), F.col("bounds")).alias("got"), alone.alias("want")).collect():
+        assert r["got"] == r["want"]
+
+
+def test_bounds_of_many_lines(spark):
+    rng = random.Random(4)
+    kinds = ["def f():", "class A:", "protected x", "", "  ", "x = 1", "y = 2", "public z"]
+    rows = [([rng.choice(kinds) for _ in range(rng.randint(1, 30))],) for _ in range(60)]
+    df = spark.createDataFrame(rows, "lines array<string>")
+    numbers = F.sequence(F.lit(1), F.size("lines"))
+    one = F.transform(numbers, lambda n: groups.block_bounds(groups.block_marks(F.col("lines")), n))
+    for r in df.select(groups.blocks_around(F.col("lines"), numbers).alias("got"), one.alias("want")).collect():
+        assert r["got"] == r["want"]
+
+
 def test_gate(spark):
     rows = [("a", "x.py", f'token = "{H}"'), ("a", "y.py", "ok"), ("b", "z.py", f'# token = "{H}"'), ("c", "w.py", "")]
     df = spark.createDataFrame(rows, "batch string, file_path string, content string")
