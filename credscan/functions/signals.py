@@ -49,7 +49,16 @@ def classify_group(group: Column) -> Column:
     ))
 
 
-def labelled(group_size: Column, probability: Column, model: str) -> Column:
+def graded(group_size: Column, probability: Column, group_text: Column, model: str) -> Column:
+    """:func:`labelled` by a model; where it gives no probability (null, or not a number), by the signals."""
+    failed = probability.isNull() | F.isnan(probability)
+    return let(failed, lambda f: labelled(
+        group_size, F.when(f, signal_score(group_text)).otherwise(probability),
+        F.when(f, SIGNAL_MODEL).otherwise(model),
+    ))
+
+
+def labelled(group_size: Column, probability: Column, model: str | Column) -> Column:
     def known(p: Column) -> Column:
         return F.struct(
             p.alias("probability"),

@@ -7,49 +7,61 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credscan.functions.literals import stands_alone
 from credscan.functions.sqltext import contains_any_sql, quote
 from credscan.functions.text import WS_CHARS, folded_sql, split_lines_sql
-from credscan.rules import RULES, TIER_WEIGHTS, Rule
+from credscan.rules import RULES, Rule
 
 MATCH_TYPE = "array<struct<rule_ord:int,match_ord:int,secret:string>>"
 
 
 def may_match(rule: Rule) -> str:
     """Necessary condition on a folded text ``low``: it holds the rule's needles."""
-    return " AND ".join(contains_any_sql("low", group) for group in rule.needles)
+    return " AND ".join(contains_any_sql("low", group) for group in rule.needles) or "true"
+
+
+def _matches_whole(rule: Rule, text: str) -> str:
+    """Necessary condition on a whole text for a match in one of its lines.
+
+    Catalogue expressions may be lowered and run over the folded text. Others run as they are, and
+    not at all if they look at what stands around a match, which differs between line and text.
+    """
+    if not rule.custom:
+        return f"low RLIKE {quote(rule.folded_regex)}"
+    return f"{text} RLIKE {quote(rule.regex)}" if stands_alone(rule.pattern) else "true"
 
 
 @cache
-def candidate_sql(text: str) -> str:
+def candidate_sql(text: str, rules: tuple[Rule, ...] = RULES) -> str:
     """Whether a whole text can hold a match on any of its lines.
 
     A superset test in one pass per needle, without splitting: a rule that
     matches a line also matches the text around it, because expressions that
     allow whitespace only get more room. Almost all texts stop here.
     """
-    tests = [f"({may_match(r)} AND low RLIKE {quote(r.folded_regex)})" for r in RULES]
+    tests = [f"({may_match(r)} AND {_matches_whole(r, text)})" for r in rules] or ["false"]
     return f"exists(array({folded_sql(text)}), low -> {' OR '.join(tests)})"
 
 
 @cache
-def _matches_of_line() -> str:
+def _matches_of_line(rules: tuple[Rule, ...]) -> str:
     """Array of ``(rule_ord, match_ord, secret)``, for ``line`` and its folded
     form ``low``."""
-    rules = []
-    for ordinal, rule in enumerate(RULES):
+    each = []
+    for ordinal, rule in enumerate(rules):
         found = f"regexp_extract_all(line, {quote(rule.regex)}, 0)"
         if rule.min_length > 1:
             found = f"filter({found}, secret -> length(secret) >= {rule.min_length})"
-        rules.append(
+        each.append(
             f"CASE WHEN {may_match(rule)} THEN transform({found}, (secret, i) -> "
             f"named_struct('rule_ord', {ordinal}, 'match_ord', i, 'secret', secret)) "
             f"ELSE CAST(array() AS {MATCH_TYPE}) END"
         )
-    return f"concat({', '.join(rules)})"
+    return f"concat({', '.join(each) or f'CAST(array() AS {MATCH_TYPE})'})"
 
 
 @cache
-def hit_lines_sql(lines: str, at: str = "i + 1") -> str:
+def hit_lines_sql(lines: str, at: str = "i + 1", rules: tuple[Rule, ...] = RULES) -> str:
     """Array of ``(line_no, at, line, matches)`` for the lines that have a match.
 
     ``at`` is where the line stands in its source, given its 0-based index
@@ -57,7 +69,7 @@ def hit_lines_sql(lines: str, at: str = "i + 1") -> str:
     Matches stay nested under their line: a long line with many matches is
     held once, and is copied only as rows stream out of the explode.
     """
-    matches = f"transform(array({folded_sql('line')}), low -> {_matches_of_line()})[0]"
+    matches = f"transform(array({folded_sql('line')}), low -> {_matches_of_line(rules)})[0]"
     return (
         f"filter(transform({lines}, (line, i) -> named_struct('line_no', i + 1, "
         f"'at', CAST({at} AS int), 'line', line, "
@@ -67,30 +79,31 @@ def hit_lines_sql(lines: str, at: str = "i + 1") -> str:
 
 
 @cache
-def candidate_lines_sql(text: str) -> str:
+def candidate_lines_sql(text: str, rules: tuple[Rule, ...] = RULES) -> str:
     """Lines of a text that can hold a match, or null without splitting it.
 
     A conditional rather than a filter: a filter would be pushed below the
     repartitioning of a small input and run on too few cores.
     """
-    return f"CASE WHEN {candidate_sql(text)} THEN {split_lines_sql(text)} END"
+    return f"CASE WHEN {candidate_sql(text, rules)} THEN {split_lines_sql(text)} END"
 
 
-CATALOGUE = {
-    "rule_id": ("string", [r.rule_id for r in RULES]),
-    "description": ("string", [r.description for r in RULES]),
-    "rule_severity": ("string", [r.severity for r in RULES]),
-    "tier": ("int", [str(r.tier) for r in RULES]),
-    "regex_score": ("double", [TIER_WEIGHTS[r.tier] for r in RULES]),
+#: Attributes of a rule that findings carry: their type, and how a rule gives them.
+ATTRIBUTES = {
+    "rule_id": ("string", lambda r: r.rule_id),
+    "description": ("string", lambda r: r.description),
+    "rule_severity": ("string", lambda r: r.severity),
+    "tier": ("int", lambda r: str(r.tier)),
+    "regex_score": ("double", lambda r: r.weight),
 }
 
 
 @cache
-def rule_column(field: str, ordinal: str = "rule_ord") -> Column:
-    """A catalogue attribute by rule ordinal: the catalogue is a constant of 28
-    rows, so it travels as a literal array instead of a join."""
-    kind, values = CATALOGUE[field]
-    array = f"array({', '.join(quote(v) for v in values)})"
+def rule_column(field: str, ordinal: str = "rule_ord", rules: tuple[Rule, ...] = RULES) -> Column:
+    """A catalogue attribute by rule ordinal: the catalogue is part of the plan,
+    so it travels as a literal array instead of a join."""
+    kind, value = ATTRIBUTES[field]
+    array = f"array({', '.join(quote(value(r)) for r in rules)})"
     return F.expr(f"get(CAST({array} AS array<{kind}>), {ordinal})").alias(field)
 
 
@@ -104,17 +117,19 @@ def explode_late(df: DataFrame, array: str, alias: str, *keep: str) -> DataFrame
     return df.select(*keep, F.explode_outer(array).alias(alias)).where(F.col(alias).isNotNull())
 
 
-def matches(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def matches(
+    df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES,
+) -> DataFrame:
     """One row per match: the ``keep`` columns, line number and line, rule and
     matched text."""
-    lines = df.select(*keep, F.expr(candidate_lines_sql(text)).alias("lines"))
-    hits = lines.select(*keep, F.expr(hit_lines_sql("lines")).alias("hits"))
+    lines = df.select(*keep, F.expr(candidate_lines_sql(text, rules)).alias("lines"))
+    hits = lines.select(*keep, F.expr(hit_lines_sql("lines", rules=rules)).alias("hits"))
     return (
         explode_late(hits, "hits", "hit", *keep)
         .select(*keep, "hit.line_no", "hit.line", F.explode("hit.matches").alias("m"))
         .select(
             *keep, "line_no", "line", "m.rule_ord", "m.match_ord",
-            rule_column("rule_id", "m.rule_ord"), "m.secret",
+            rule_column("rule_id", "m.rule_ord", rules), "m.secret",
         )
     )
 
@@ -132,6 +147,6 @@ def matches_per_rule(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return rows.select(*keep, rule_column("rule_id", "r.rule_ord"), "r.n", "r.lines")
 
 
-def tiered(found: DataFrame) -> DataFrame:
+def tiered(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds the confidence tier and its weight to matches."""
-    return found.select("*", rule_column("tier"), rule_column("regex_score"))
+    return found.select("*", rule_column("tier", rules=rules), rule_column("regex_score", rules=rules))

@@ -14,14 +14,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credscan.functions import suppress as P
-from credscan.functions.blocks import runs
 from credscan.functions.entropy import round3
-from credscan.functions.groups import block_text, blocks_around, string_group
-from credscan.functions.signals import labelled
 from credscan.operators.evaluate import confusion, ratio
-from credscan.operators.matches import candidate_lines_sql, explode_late, hit_lines_sql
-from credscan.operators.scan import features, prepared, scored
+from credscan.operators.matches import candidate_lines_sql
+from credscan.operators.scan import Classifier, Layers, prepared, scan
+from credscan.operators.scan import hit_contexts as scan_contexts
 
 # --- string groups as rows --------------------------------------------------
 
@@ -29,28 +26,10 @@ def hit_contexts(
     df: DataFrame, text: str = "content", path: str | None = "file_path",
     keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """One row per hit line: its matches, the bounds and text of the block
-    around it, and the block's string group.
-
-    For classifiers that need the group itself as a column. Blocks are rows before their contexts
-    are built, so a context is built once and memory holds one at a time.
-    """
+    """One row per hit line of a table of texts, with its block's bounds, text and string group."""
     cols = (*keep, "file_path")
-    staged = prepared(df, text, path).select(*cols, F.expr(candidate_lines_sql(text)).alias("lines"))
-    staged = staged.select(*cols, "lines", F.expr(hit_lines_sql("lines")).alias("hits"))
-    numbers = F.transform("hits", lambda hit: hit["line_no"])
-    staged = staged.select(*cols, "lines", "hits", F.when(F.size("hits") > 0, blocks_around(F.col("lines"), numbers)).alias("bounds"))
-    keyed = F.sort_array(F.transform("bounds", lambda b, i: F.struct(b.alias("bounds"), i.alias("i"))))
-    blocks = F.transform(runs(keyed, lambda k: k["bounds"]), lambda run: F.struct(
-        F.get(run, F.lit(0))["bounds"].alias("bounds"), F.transform(run, lambda k: F.get("hits", k["i"])).alias("hits"),
-    ))
-    by_block = explode_late(staged.select(*cols, "lines", blocks.alias("blocks")), "blocks", "b", *cols, "lines")
-    by_block = by_block.select(*cols, "b.bounds", block_text(F.col("lines"), F.col("b.bounds")).alias("context"), "b.hits")
-    by_line = by_block.select(*cols, "bounds", "context", F.explode("hits").alias("hit"))
-    by_line = by_line.select(*cols, "hit.line_no", "hit.at", "hit.line", "hit.matches", "bounds", "context")
-    return by_line.select(
-        *cols, "line_no", "at", "line", "matches", "bounds", "context",
-    ).select("*", string_group(F.col("context")).alias("string_group"))
+    rows = scan_contexts(prepared(df, text, path), cols, candidate_lines_sql(text))
+    return rows.select(*cols, "hit.line_no", "hit.at", "hit.line", "hit.matches", "bounds", "context", "string_group")
 
 
 def scan_with(
@@ -59,20 +38,7 @@ def scan_with(
 ) -> DataFrame:
     """The full scan with another classifier: ``probability`` adds a column of
     that name to rows with ``group_text``."""
-    cols = (*keep, "file_path")
-    rows = hit_contexts(df, text, path, keep).select(
-        *cols, "line_no", "at", "line", "matches",
-        F.size("string_group").alias("group_size"),
-        F.array_join("string_group", " ").alias("group_text"),
-    )
-    rows = probability(rows).select(
-        *cols, "line_no", "at", "line", "matches",
-        labelled(F.col("group_size"), F.col("probability"), model).alias("l3"),
-        P.line_facts(F.col("line")).alias("facts"),
-    )
-    rows = rows.select(*cols, "line_no", "at", "line", "l3", "facts", F.explode("matches").alias("m"))
-    rows = rows.select(*cols, "line_no", "at", "line", "l3", "facts", "m.rule_ord", "m.match_ord", "m.secret")
-    return scored(features(rows, cols), cols).drop("at")
+    return scan(df, text, path, keep, Layers(classifier=Classifier(model, probability)))
 
 
 # --- similarity -------------------------------------------------------------

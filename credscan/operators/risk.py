@@ -24,8 +24,9 @@ from credscan.operators.scan import (
     hit_arrays,
     hit_rows,
     prepared,
+    scan,
 )
-from credscan.rules import DEFAULT_THRESHOLD, GATE_PENALTY, RULES, TIER_WEIGHTS
+from credscan.rules import DEFAULT_THRESHOLD, GATE_PENALTY
 
 # The published ablation, as (name, layers).
 CONFIGURATIONS: tuple[tuple[str, Layers], ...] = (
@@ -83,8 +84,9 @@ def _scores(
 @cache
 def _match_scores(configurations: tuple[Layers, ...]) -> Column:
     """Array over all matches of a text of ``(scores, rule_ord)``."""
-    tiers = F.array(*[F.lit(r.tier) for r in RULES])
-    weights = F.array(*[F.lit(float(TIER_WEIGHTS[r.tier])) for r in RULES])
+    rules = configurations[0].rules
+    tiers = F.array(*[F.lit(r.tier) for r in rules]).cast("array<int>")
+    weights = F.array(*[F.lit(float(r.weight)) for r in rules]).cast("array<double>")
 
     def of_line(hit: Column, path: Column) -> Column:
         return let(P.line_facts(hit["line"]), lambda facts: F.transform(
@@ -112,22 +114,42 @@ def match_scores(
     df: DataFrame, keep: tuple[str, ...], lines: str,
     configurations: tuple[Layers, ...] = (ALL_LAYERS,),
 ) -> DataFrame:
-    arrays = hit_arrays(df, keep, lines)
+    arrays = hit_arrays(df, keep, lines, Layers(rules=configurations[0].rules))
     return arrays.select(*keep, _match_scores(configurations).alias("found"))
 
 
+def _scores_by_text(
+    df: DataFrame, text: str, path: str | None, keep: tuple[str, ...], layers: Layers,
+) -> DataFrame:
+    """Each text's ``found`` from findings as rows. A text's scores are gathered in one row, as they
+    are where they are made in it."""
+    cols = [*keep, "file_path"]
+    rows = prepared(df, text, path).select(*cols)
+    found = scan(df, text, path, keep, layers).groupBy(*cols).agg(
+        F.collect_list(F.struct(F.array("combined_score").alias("scores"), "rule_ord")).alias("found")
+    )
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in cols], "found")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]
+    return rows.join(found, same, "left").select(*cols, F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+
+
 def risk(
     df: DataFrame,
     text: str = "content",
     path: str | None = "file_path",
     keep: tuple[str, ...] = ("doc_id",),
     threshold: float = DEFAULT_THRESHOLD,
+    layers: Layers = ALL_LAYERS,
 ) -> DataFrame:
     """One row per text, including clean ones: matches, findings at or above
     the threshold, highest score, its severity, and the rule that reached it
-    (the first in the catalogue on a tie)."""
+    (the first in the catalogue on a tie). With a classifier of their own findings are scored as
+    rows and joined back to the texts, which ``keep`` and the path then have to tell apart."""
     cols = (*keep, "file_path")
-    scored = match_scores(prepared(df, text, path), cols, candidate_lines_sql(text))
+    if layers.l3 and layers.classifier:
+        scored = _scores_by_text(df, text, path, keep, layers)
+    else:
+        scored = match_scores(prepared(df, text, path), cols, candidate_lines_sql(text, layers.rules), (layers,))
     best = F.array_max(F.transform(
         "found", lambda f: F.struct(f["scores"][0].alias("score"), (-f["rule_ord"]).alias("minus_ord"))
     ))
@@ -142,7 +164,7 @@ def risk(
         F.coalesce(F.col("best.score"), F.lit(0.0)).alias("max_score"),
         F.when(F.col("best").isNotNull(), S.severity(F.col("best.score"))).otherwise("none")
         .alias("worst_severity"),
-        rule_column("rule_id", "-best.minus_ord").alias("top_rule"),
+        rule_column("rule_id", "-best.minus_ord", layers.rules).alias("top_rule"),
     )
 
 
@@ -194,12 +216,12 @@ def ablation(
 
 def gate(
     df: DataFrame, batch: str = "batch", text: str = "content", path: str | None = "file_path",
-    threshold: float = DEFAULT_THRESHOLD,
+    threshold: float = DEFAULT_THRESHOLD, layers: Layers = ALL_LAYERS,
 ) -> DataFrame:
     """Whether each submitted batch of files is blocked, and by how many
     findings. Batches without findings stay. Counts per file are made in its
     row and summed map-side, so a batch of any size is one small group."""
-    per_file = risk(df, text, path, (batch,), threshold)
+    per_file = risk(df, text, path, (batch,), threshold, layers)
     return per_file.groupBy(batch).agg(
         F.count("*").alias("n_files"),
         F.sum("n_findings").alias("n_findings"),

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from credscan.functions import score as S
 from credscan.functions import suppress as P
-from credscan.functions.blocks import block_verdicts
+from credscan.functions.blocks import block_verdicts, runs
 from credscan.functions.entropy import PLACEHOLDER_TRANSITION, evaluate_entropy
-from credscan.functions.groups import blocks_around
+from credscan.functions.groups import block_text, blocks_around, string_group
+from credscan.functions.signals import graded
 from credscan.functions.text import let, strip
 from credscan.operators.matches import (
     MATCH_TYPE,
@@ -28,16 +29,29 @@ from credscan.operators.matches import (
     hit_lines_sql,
     rule_column,
 )
-from credscan.rules import DEFAULT_THRESHOLD, GATED_MAX_SCORE
+from credscan.rules import DEFAULT_THRESHOLD, GATED_MAX_SCORE, RULES, Rule
+from credscan.sources.store import written
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """A classifier of string groups: ``add`` puts a column ``probability`` to rows with
+    ``group_text``, null where it cannot tell; the keyword signals decide there."""
+
+    name: str
+    add: Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Layers:
-    """Which layers beyond rule matching are on; for ablation."""
+    """What a scan does: which layers beyond rule matching are on (for ablation), the rules, and the
+    classifier of the third layer (the keyword signals if none is named)."""
 
     l2: bool = True
     l3: bool = True
     l4: bool = True
+    rules: tuple[Rule, ...] = RULES
+    classifier: Classifier | None = None
 
 
 ALL_LAYERS = Layers()
@@ -143,7 +157,7 @@ def hit_arrays(
     match; ``at`` may refer to a column ``numbers``."""
     numbers = ("numbers",) if "numbers" in df.columns else ()
     staged = df.select(*keep, *numbers, F.expr(lines).alias("lines"))
-    staged = staged.select(*keep, "lines", F.expr(hit_lines_sql("lines", at)).alias("hits"))
+    staged = staged.select(*keep, "lines", F.expr(hit_lines_sql("lines", at, layers.rules)).alias("hits"))
     if drop_vetoed:
         staged = staged.select(*keep, "lines", _without_vetoed(layers.l2).alias("hits"))
     if layers.l3:
@@ -162,6 +176,8 @@ def hit_rows(
     """:func:`hit_arrays` as one row per match with what the scoring layers
     need: ``line_no``, ``at``, ``line``, ``facts`` (tests on the line), ``l3``
     (verdict on the block), ``rule_ord``, ``match_ord``, ``secret``."""
+    if layers.l3 and layers.classifier:
+        return classified_rows(df, keep, lines, layers, drop_vetoed, at)
     by_line = explode_late(hit_arrays(df, keep, lines, layers, drop_vetoed, at), "hits", "hit", *keep)
     l3 = F.col("hit.l3") if layers.l3 else F.lit(None)
     facts = F.lit(None)
@@ -178,6 +194,63 @@ def hit_rows(
     )
 
 
+def hit_contexts(
+    df: DataFrame, keep: tuple[str, ...], lines: str, layers: Layers = ALL_LAYERS, drop_vetoed: bool = False, at: str = "i + 1",
+) -> DataFrame:
+    """One row per hit line: the struct ``hit``, the ``bounds`` and text (``context``) of the block
+    around it, and the block's ``string_group``.
+
+    For classifiers that need the group itself as a column. Blocks are rows before their contexts
+    are built, so a context is built once and memory holds one at a time.
+    """
+    numbers_of = ("numbers",) if "numbers" in df.columns else ()
+    staged = df.select(*keep, *numbers_of, F.expr(lines).alias("lines"))
+    staged = staged.select(*keep, "lines", F.expr(hit_lines_sql("lines", at, layers.rules)).alias("hits"))
+    if drop_vetoed:
+        staged = staged.select(*keep, "lines", _without_vetoed(layers.l2).alias("hits"))
+    numbers = F.transform("hits", lambda hit: hit["line_no"])
+    staged = staged.select(*keep, "lines", "hits", F.when(F.size("hits") > 0, blocks_around(F.col("lines"), numbers)).alias("bounds"))
+    keyed = F.sort_array(F.transform("bounds", lambda b, i: F.struct(b.alias("bounds"), i.alias("i"))))
+    blocks = F.transform(runs(keyed, lambda k: k["bounds"]), lambda run: F.struct(
+        F.get(run, F.lit(0))["bounds"].alias("bounds"), F.transform(run, lambda k: F.get("hits", k["i"])).alias("hits"),
+    ))
+    by_block = explode_late(staged.select(*keep, "lines", blocks.alias("blocks")), "blocks", "b", *keep, "lines")
+    by_block = by_block.select(*keep, "b.bounds", block_text(F.col("lines"), F.col("b.bounds")).alias("context"), "b.hits")
+    by_block = by_block.select("*", string_group(F.col("context")).alias("string_group"))
+    return by_block.select(*keep, "bounds", "context", "string_group", F.explode("hits").alias("hit"))
+
+
+def classified_rows(
+    df: DataFrame, keep: tuple[str, ...], lines: str, layers: Layers, drop_vetoed: bool = False, at: str = "i + 1",
+) -> DataFrame:
+    """:func:`hit_rows` with the verdicts of ``layers.classifier``.
+
+    Groups are keyed by their digest and scored once per distinct group. For that the hit lines,
+    without their contexts, are written once; a stream, which can't be read twice, scores per line.
+    """
+    facts = F.lit(None)
+    if layers.l4:
+        facts = F.col("hit.facts") if drop_vetoed else _hit_line_facts()
+    rows = hit_contexts(df, keep, lines, layers, drop_vetoed, at).select(
+        *keep, "hit.line_no", "hit.at", "hit.line", facts.alias("facts"), F.col("hit.matches").alias("ms"),
+        F.size("string_group").alias("group_size"), F.array_join("string_group", " ").alias("group_text"),
+    )
+    if rows.isStreaming:
+        judged = layers.classifier.add(rows)
+    else:
+        rows = written(rows.withColumn("group_key", F.sha2("group_text", 256)), "hit-lines")
+        groups = rows.where("group_size > 0").groupBy("group_key").agg(F.first("group_text").alias("group_text"))
+        scores = layers.classifier.add(groups).select("group_key", "probability")
+        judged = rows.join(scores, "group_key", "left")
+    l3 = graded(F.col("group_size"), F.col("probability"), F.col("group_text"), layers.classifier.name)
+    cols = (*keep, "line_no", "at", "line", "l3", "facts")
+    return (
+        judged.select(*keep, "line_no", "at", "line", l3.alias("l3"), "facts", "ms")
+        .select(*cols, F.explode("ms").alias("m"))
+        .select(*cols, "m.rule_ord", "m.match_ord", "m.secret")
+    )
+
+
 # Expressions over fixed column names are built once per process: each operator
 # in them costs a round trip to the JVM.
 
@@ -208,7 +281,7 @@ def features(df: DataFrame, keep: tuple[str, ...], layers: Layers = ALL_LAYERS)
     ``l4`` to :func:`hit_rows`. A switched-off layer leaves nulls."""
     entropy = _secret_entropy() if layers.l2 else F.expr(OFF_ENTROPY)
     base = df.select(
-        "*", rule_column("tier"), rule_column("regex_score"),
+        "*", rule_column("tier", rules=layers.rules), rule_column("regex_score", rules=layers.rules),
         entropy.alias("l2"), F.lit(layers.l2).alias("entropy_on"),
     )
     return base.select("*", (_suppression() if layers.l4 else F.expr(OFF_SUPPRESSION)).alias("l4"))
@@ -219,7 +292,7 @@ def scored(df: DataFrame, keep: tuple[str, ...], layers: Layers = ALL_LAYERS) ->
     verdict = F.col("l3") if layers.l3 else F.expr(OFF_CLASSIFIER)
     flat = df.select(
         *keep, "line_no", "at", strip(F.col("line")).alias("line_content"), "rule_ord", "match_ord",
-        rule_column("rule_id"), rule_column("description"),
+        rule_column("rule_id", rules=layers.rules), rule_column("description", rules=layers.rules),
         "secret", "tier", "regex_score",
         "l2.*", verdict.alias("l3"), "l4.*",
     )
@@ -272,7 +345,7 @@ def scan(
 ) -> DataFrame:
     """Every finding in a table of texts, whatever its score."""
     cols = (*keep, "file_path")
-    rows = hit_rows(prepared(df, text, path), cols, candidate_lines_sql(text), layers)
+    rows = hit_rows(prepared(df, text, path), cols, candidate_lines_sql(text, layers.rules), layers)
     return scored(features(rows, cols, layers), cols, layers).drop("at")
 
 
@@ -292,7 +365,7 @@ def report(
     """
     cols = (*keep, "file_path")
     drop = layers.l4 and threshold > GATED_MAX_SCORE
-    rows = hit_rows(prepared(df, text, path), cols, candidate_lines_sql(text), layers, drop)
+    rows = hit_rows(prepared(df, text, path), cols, candidate_lines_sql(text, layers.rules), layers, drop)
     found = scored(features(rows, cols, layers), cols, layers)
     return at_least(found.drop("at"), threshold)
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from credscan.functions.literals import needles
 from credscan.functions.text import WS
 
 DEFAULT_MIN_LENGTH = 8
@@ -45,6 +46,11 @@ class Rule:
     tier: int
     needles: tuple[tuple[str, ...], ...]
     min_length: int = DEFAULT_MIN_LENGTH
+    custom: bool = False
+
+    @property
+    def weight(self) -> str:
+        return TIER_WEIGHTS.get(self.tier, TIER_WEIGHTS[DEFAULT_TIER])
 
     @property
     def regex(self) -> str:
@@ -57,6 +63,9 @@ class Rule:
         return self.pattern.lower()
 
 
+#: A catalogue is part of the plan; one with more rules than this is a mistake.
+MOST_RULES = 5_000
+
 KEYWORDS = ("key", "secret", "token", "password", "pwd")
 
 RULES: tuple[Rule, ...] = (
@@ -162,11 +171,37 @@ RULE_SCHEMA = T.StructType([
 ])
 
 
+def rules_from(table: DataFrame) -> tuple[Rule, ...]:
+    """A catalogue from a table of rules, for ``Layers(rules=...)``.
+
+    Needs ``rule_id`` and ``regex`` (of the JVM's dialect; case is ignored); ``description``,
+    ``tags``, ``severity``, ``min_length`` and ``tier`` may be missing or null. A known id without a
+    tier keeps its own, any other is of tier 3. Rules keep the order of ``rule_ord``, or of their ids.
+    """
+    order = "rule_ord" if "rule_ord" in table.columns else "rule_id"
+    rows = table.orderBy(order).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    tiers = {r.rule_id: r.tier for r in RULES}
+    compiles = table.sparkSession._jvm.java.util.regex.Pattern.compile
+    out = []
+    for row in rows:
+        own = {k: v for k, v in row.asDict().items() if v is not None}
+        known = next((r for r in RULES if (r.rule_id, r.pattern) == (own["rule_id"], own["regex"])), None)
+        compiles(own["regex"])  # a bad expression is an error now, not in some task
+        out.append(Rule(
+            own["rule_id"], own.get("description", own["rule_id"]), own["regex"], tuple(own.get("tags", ())),
+            own.get("severity", DEFAULT_SEVERITY), own.get("tier", tiers.get(own["rule_id"], DEFAULT_TIER)),
+            known.needles if known else needles(own["regex"]), own.get("min_length", DEFAULT_MIN_LENGTH), known is None,
+        ))
+    return tuple(out)
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     """The catalogue as a joinable table, one row per rule."""
     rows = [
         (i, r.rule_id, r.description, r.pattern, list(r.tags), r.severity,
-         r.min_length, r.tier, float(TIER_WEIGHTS[r.tier]))
+         r.min_length, r.tier, float(r.weight))
         for i, r in enumerate(RULES)
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
