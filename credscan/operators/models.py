@@ -19,6 +19,7 @@ from credscan.operators.evaluate import confusion, ratio
 from credscan.operators.matches import candidate_lines_sql
 from credscan.operators.scan import Classifier, Layers, prepared, scan
 from credscan.operators.scan import hit_contexts as scan_contexts
+from credscan.sources.store import written
 
 # --- string groups as rows --------------------------------------------------
 
@@ -106,17 +107,38 @@ def train(examples: DataFrame, text: str = "text", c: float = 2.0) -> PipelineMo
     return Pipeline(stages=[*featurizer(text), regression(n, c)]).fit(weighted)
 
 
-def probability_of(model: PipelineModel, text: str = "group_text") -> Callable[[DataFrame], DataFrame]:
-    """A classifier for :func:`scan_with` from a trained model."""
+def probability_of(model: PipelineModel, text: str = "group_text", least_words: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """A classifier for :func:`scan_with` from a trained model. Texts of fewer than ``least_words`` words get null."""
     def add(rows: DataFrame) -> DataFrame:
-        out = model.transform(rows.withColumn("text", F.col(text)))
-        return out.withColumn("probability", round3(vector_to_array("probability")[1])).drop(
-            "text", "_words", "_counts", "features", "rawPrediction", "prediction"
+        source = model.stages[0].getInputCol()
+        out = model.transform(rows if source == text else rows.withColumn(source, F.col(text)))
+        known = F.when(F.size("_words") >= least_words, round3(vector_to_array("probability")[1]))
+        return out.withColumn("probability", known).drop(
+            *([] if source == text else [source]), "_words", "_counts", "features", "rawPrediction", "prediction"
         )
 
     return add
 
 
+def labelled_groups(df: DataFrame, label: Column, text: str = "content", path: str | None = "file_path") -> DataFrame:
+    """Training examples from scanned texts: the distinct string groups around their hits, with ``label``.
+
+    Columns group_key, group_text, group_size, label. A group that comes with both labels is an
+    example of each; hits without literals or URLs around them teach nothing and are left out.
+    """
+    rows = scan_contexts(prepared(df, text, path).withColumn("label", label), ("label",), candidate_lines_sql(text))
+    rows = rows.where(F.size("string_group") > 0).select(
+        "label", F.size("string_group").alias("group_size"), F.array_join("string_group", " ").alias("group_text"),
+    ).withColumn("group_key", F.md5("group_text"))
+    return rows.groupBy("group_key", "label").agg(F.first("group_text").alias("group_text"), F.max("group_size").alias("group_size"))
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """The model as the scans will load it: written to ``path`` and read back."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 # --- cross-validation -------------------------------------------------------
 
 BUCKET_DIGITS = 3
@@ -162,7 +184,8 @@ def cross_validate(folded: DataFrame, text: str = "text", c: float = 2.0, k: int
             (F.col("label") == 1).alias("is_secret"),
         )
         held_out = judged if held_out is None else held_out.unionByName(judged)
-    counts = confusion(held_out, "fold")
+    counts = written(confusion(held_out, "fold"), "folds")
+    vectors.unpersist()
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     return counts.select(
         "*",
@@ -207,6 +230,6 @@ def class_balance(examples: DataFrame, label: str = "label") -> DataFrame:
 
 __all__ = [
     "balanced", "class_balance", "context_similarity", "cross_validate", "cv_summary",
-    "featurizer", "hit_contexts", "metadata", "probability_of", "regression",
-    "scan_with", "stratified_folds", "train",
+    "featurizer", "hit_contexts", "labelled_groups", "metadata", "probability_of", "regression",
+    "saved", "scan_with", "stratified_folds", "train",
 ]

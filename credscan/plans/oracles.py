@@ -17,8 +17,8 @@ from credscan.operators import legacy as L
 from credscan.operators.evaluate import BASELINES
 from credscan.operators.risk import CONFIGURATIONS
 from credscan.plans.corpus import FILES, FIRST_PLANTED, PARENT_NUMBERS, PATCHES, SCENARIOS, _DIGEST, filled
-from credscan.plans.queries import FLAG_COLUMNS, HISTORY, MATCH
-from credscan.rules import RULES
+from credscan.plans.queries import ADDED_RULES, FLAG_COLUMNS, HISTORY, LEFT_OUT, MATCH
+from credscan.rules import RULES, Rule
 from credscan.sources import paths
 
 
@@ -104,14 +104,14 @@ _LINES = """SELECT doc_id, file_path, unnest(l) AS line, generate_subscripts(l,
     FROM (SELECT doc_id, file_path, regexp_split_to_array(content, {lb}) AS p FROM {source}))"""
 
 
-def matches_sql(lines: str) -> str:
+def matches_sql(lines: str, rules=RULES) -> str:
     return " UNION ALL ".join(
         f"""SELECT doc_id, file_path, line_no, line, {i} AS rule_ord, {q(r.rule_id)} AS rule_id, {r.tier} AS tier,
         {float({1: 1.0, 2: 0.7, 3: 0.4}[r.tier])}::DOUBLE AS regex_score,
         unnest(f) AS secret, (generate_subscripts(f, 1) - 1)::INTEGER AS match_ord FROM (
         SELECT *, list_filter(regexp_extract_all(line, {q('(?i)' + r.pattern)}), lambda s: length(s) >= {r.min_length}) AS f
         FROM {lines}) WHERE len(f) > 0"""
-        for i, r in enumerate(RULES)
+        for i, r in enumerate(rules)
     )
 
 
@@ -310,6 +310,13 @@ def findings_cte(l4: str, l3: str) -> str:
 
 cte("findings", findings_cte("l4", "l3"), "l4", "l3")
 
+CONTEXT_SIMILARITY = """WITH ctx AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v
+    FROM embeddings WHERE label < 9 GROUP BY label),
+    sims AS (SELECT vec_id, max(CASE WHEN ctx.label < 6 THEN list_cosine_similarity(embedding::DOUBLE[], v) END) AS p,
+    max(CASE WHEN ctx.label >= 6 THEN list_cosine_similarity(embedding::DOUBLE[], v) END) AS n
+    FROM embeddings CROSS JOIN ctx GROUP BY vec_id)
+    SELECT vec_id, """ + r3("least(greatest(p / (p + n + 1e-8), 0), 1)") + " AS probability FROM sims"
+
 ORACLES: dict[str, str] = {}
 M = ", ".join(MATCH)
 
@@ -399,12 +406,7 @@ ORACLES["string_groups"] = build(
 ORACLES["signal_classifier"] = build(f"SELECT doc_id, {signals('content')} AS probability FROM files", "files")
 ORACLES["classified_groups"] = build(
     "SELECT doc_id, line_no, probability, classification, model_used, string_group_size FROM l3", "l3")
-ORACLES["context_similarity"] = """WITH ctx AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v
-    FROM embeddings WHERE label < 9 GROUP BY label),
-    sims AS (SELECT vec_id, max(CASE WHEN ctx.label < 6 THEN list_cosine_similarity(embedding::DOUBLE[], v) END) AS p,
-    max(CASE WHEN ctx.label >= 6 THEN list_cosine_similarity(embedding::DOUBLE[], v) END) AS n
-    FROM embeddings CROSS JOIN ctx GROUP BY vec_id)
-    SELECT vec_id, """ + r3("least(greatest(p / (p + n + 1e-8), 0), 1)") + " AS probability FROM sims"
+ORACLES["context_similarity"] = CONTEXT_SIMILARITY
 ORACLES["stratified_folds"] = """SELECT doc_id, quality AS label,
     ((row_number() OVER (PARTITION BY quality ORDER BY md5(concat('', doc_id)), doc_id) - 1) % 5)::INTEGER AS fold FROM labels"""
 ORACLES["class_balance"] = "SELECT quality AS label, count(*)::BIGINT AS n FROM labels GROUP BY quality"
@@ -450,6 +452,38 @@ ORACLES["scan_documents"] = build(
     probability AS classifier_score, classification, string_group_size, rules_fired,
     penalty::DOUBLE AS total_penalty, penalty >= 0.80 AS suppressed, (1.00 - penalty)::DOUBLE AS suppressor_score,
     combined_score, severity, md5({_trim}) AS line_digest FROM findings""", "findings")
+_SCANNED = f"""SELECT file_path, {M}, secret, tier, regex_score, probability AS classifier_score, classification, model_used,
+    string_group_size, penalty::DOUBLE AS total_penalty, combined_score, severity FROM """
+_custom = tuple(r for r in RULES if r.rule_id not in LEFT_OUT) + tuple(
+    Rule(name, name, regex, (), severity or "medium", tier or 3, (), least or 8) for name, regex, severity, least, tier in ADDED_RULES)
+cte("c_hits", matches_sql("lines", _custom), "lines")
+cte("c_l2", entropy_cte("c_hits"), "c_hits")
+cte("c_flags", flags_cte("c_l2"), "c_l2")
+cte("c_l4", l4_cte("c_flags"), "c_flags")
+cte("c_groups", group_cte("lines", "c_hits"), "lines", "c_hits")
+cte("c_l3", l3_cte("c_groups"), "c_groups")
+cte("c_findings", findings_cte("c_l4", "c_l3"), "c_l4", "c_l3")
+ORACLES["custom_rules"] = build(f"{_SCANNED} c_findings", "c_findings")
+cte("by_vector", CONTEXT_SIMILARITY)
+cte("v_l3", f"""SELECT doc_id, line_no, string_group_size, CASE WHEN n = 0 THEN 0 ELSE p END AS probability,
+    CASE WHEN n > 0 AND p >= 0.55 THEN 'secret' ELSE 'not_secret' END AS classification,
+    CASE WHEN n = 0 THEN 'none' WHEN s IS NULL THEN 'heuristic_fallback' ELSE 'similarity' END AS model_used
+    FROM (SELECT doc_id, line_no, string_group_size, string_group_size AS n, by_vector.probability AS s,
+      coalesce(by_vector.probability, l3.probability) AS p
+      FROM groups JOIN l3 USING (doc_id, line_no) LEFT JOIN by_vector
+      ON vec_id = ('0x' || substr(md5(array_to_string(grp, ' ')), 1, 7))::BIGINT % (2 * (SELECT count(*) FROM embeddings)))""",
+    "groups", "l3", "by_vector")
+cte("v_findings", findings_cte("l4", "v_l3"), "l4", "v_l3")
+ORACLES["similarity_scan"] = build(f"{_SCANNED} v_findings", "v_findings")
+ORACLES["similarity_gate"] = build(
+    """SELECT batch, count(*)::BIGINT AS n_files, sum(n)::BIGINT AS n_findings, max(top)::DOUBLE AS max_score, sum(n) > 0 AS blocked
+    FROM (SELECT batch, files.doc_id, count(CASE WHEN combined_score >= 0.3 THEN 1 END) AS n, coalesce(max(combined_score), 0) AS top
+      FROM files LEFT JOIN v_findings USING (doc_id) GROUP BY batch, files.doc_id) GROUP BY batch""", "files", "v_findings")
+_words = r"len(regexp_extract_all(array_to_string(grp, ' '), '[^ \t\n\x0B\f\r]+'))"
+ORACLES["model_scores"] = build(
+    f"""SELECT {M}, string_group_size, CASE WHEN string_group_size = 0 THEN 'none' WHEN {_words} < 2 THEN 'heuristic_fallback'
+    ELSE 'trained' END AS model_used, CASE WHEN string_group_size > 0 AND {_words} < 2 THEN probability END AS signal_score, true AS scored
+    FROM hits JOIN l3 USING (doc_id, line_no) JOIN groups USING (doc_id, line_no)""", "hits", "l3", "groups")
 ORACLES["findings_report"] = build(
     """SELECT severity, rule_id, count(*)::BIGINT AS n, max(combined_score) AS max_score FROM findings
     WHERE combined_score >= 0.3 GROUP BY severity, rule_id""", "findings")
@@ -544,6 +578,11 @@ cte("s_l2", entropy_cte("scenario_hits"), "scenario_hits")
 cte("s_flags", flags_cte("s_l2"), "s_l2")
 cte("s_l4", l4_cte("s_flags"), "s_flags")
 cte("s_groups", group_cte("scenario_lines", "scenario_hits"), "scenario_lines", "scenario_hits")
+cte("s_examples", f"""SELECT DISTINCT md5(array_to_string(grp, ' ')) AS group_key, is_secret::INTEGER AS label, len(grp)::INTEGER AS group_size,
+    {_words} AS n_tokens FROM s_groups JOIN scenario USING (doc_id) WHERE len(grp) > 0""", "s_groups", "scenario")
+ORACLES["train_group_classifier"] = build(
+    """SELECT group_key, label, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label))::DOUBLE AS weight, group_size, n_tokens,
+    true AS scored FROM s_examples""", "s_examples")
 cte("s_l3", l3_cte("s_groups"), "s_groups")
 _each = " UNION ALL ".join(
     f"SELECT doc_id, {q(name)} AS config, {score(layers)} AS score FROM s_l4 JOIN s_l3 USING (doc_id, line_no)"

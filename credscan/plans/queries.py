@@ -15,10 +15,11 @@ from credscan.functions.text import split_lines, utf8_text
 from credscan.operators import evaluate, history, legacy, models, risk, scan
 from credscan.operators.matches import candidate_lines_sql, explode_late, matches, matches_per_rule, tiered
 from credscan.plans.corpus import as_sources, commits, patches, planted_files, scenarios, sources, table
-from credscan.rules import rule_table
+from credscan.rules import rule_table, rules_from
 from credscan.sources import paths
 from credscan.sources.files import write_findings, write_report
 from credscan.sources.layout import spread
+from credscan.sources.store import shared_dir
 from credscan.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,16 +224,20 @@ def classified_groups(spark, sf_dir):
 N_POSITIVE, N_NEGATIVE = 6, 3
 
 
-@query
-def context_similarity(spark, sf_dir):
-    """Reference contexts: the first vector of each of nine labels."""
-    vectors = table(spark, sf_dir, "embeddings")
+def _contexts(vectors):
     first = {
         r["label"]: r["v"]
         for r in vectors.where(F.col("label") < N_POSITIVE + N_NEGATIVE)
         .groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).collect()
     }
-    contexts = [first[i] for i in sorted(first)]
+    return [first[i] for i in sorted(first)]
+
+
+@query
+def context_similarity(spark, sf_dir):
+    """Reference contexts: the first vector of each of nine labels."""
+    vectors = table(spark, sf_dir, "embeddings")
+    contexts = _contexts(vectors)
     return spread(vectors).select(
         "vec_id",
         models.context_similarity(
@@ -259,10 +264,13 @@ def train_text_classifier(spark, sf_dir):
 
 @query
 def model_scores(spark, sf_dir):
-    """The scan with a trained classifier in place of the keyword signals."""
+    """The scan with a trained classifier, and the keyword signals for groups of one word."""
     fitted = models.train(_examples(spark, sf_dir))
-    return models.scan_with(sources(spark, sf_dir), models.probability_of(fitted), "trained").select(
-        *MATCH, "classifier_score", "classification", "model_used", "combined_score", "severity"
+    found = models.scan_with(sources(spark, sf_dir), models.probability_of(fitted, least_words=2), "trained")
+    by_signals = F.when(F.col("model_used") == "heuristic_fallback", F.col("classifier_score"))
+    return found.select(
+        *MATCH, "string_group_size", "model_used", by_signals.alias("signal_score"),
+        F.col("classifier_score").between(0, 1).alias("scored"),
     )
 
 
@@ -270,7 +278,7 @@ def model_scores(spark, sf_dir):
 def cv_metrics(spark, sf_dir):
     folded = models.stratified_folds(_examples(spark, sf_dir), "doc_id")
     summary = models.cv_summary(models.cross_validate(folded))
-    target = jobs.shared_dir(spark, "model-metadata")
+    target = shared_dir(spark, "model-metadata")
     write_report(models.metadata(folded, summary), target)
     return spark.read.json(target).drop("labels", "trained_at")
 
@@ -287,6 +295,71 @@ def class_balance(spark, sf_dir):
     return models.class_balance(labels.select(F.col("quality").alias("label")))
 
 
+# --- rules and classifiers as arguments -------------------------------------
+
+#: Two rules beside the catalogue's: one known by what it must contain, one by its expression alone.
+ADDED_RULES = (
+    ("mail-address", r"[a-z0-9._]+@[a-z0-9]+\.(org|com|net)", "low", 6, 2),
+    ("long-number", r"[0-9]{9,}", None, None, None),
+)
+LEFT_OUT = ("twitter-access-token", "generic-api-key")
+
+
+def _scanned(found):
+    return found.select(
+        "file_path", *MATCH, "secret", "tier", "regex_score", "classifier_score", "classification", "model_used",
+        "string_group_size", "total_penalty", "combined_score", "severity",
+    )
+
+
+@query
+def custom_rules(spark, sf_dir):
+    """The scan by a catalogue from a table: two rules left out, two added."""
+    added = spark.createDataFrame(ADDED_RULES, "rule_id string, regex string, severity string, min_length int, tier int")
+    table_ = rule_table(spark).where(~F.col("rule_id").isin(*LEFT_OUT)).unionByName(
+        added.withColumn("rule_ord", F.when(F.col("rule_id") == "mail-address", 100).otherwise(101)), allowMissingColumns=True
+    )
+    return _scanned(scan.scan(sources(spark, sf_dir), layers=scan.Layers(rules=rules_from(table_))))
+
+
+def _vectors_of(spark, sf_dir):
+    """A classifier by vectors: groups are dealt twice as many numbers as there are vectors, so half have none."""
+    vectors = table(spark, sf_dir, "embeddings")
+    contexts = _contexts(vectors)
+    number = F.conv(F.substring(F.md5("group_text"), 1, 7), 16, 10).cast("long")
+
+    def add(groups):
+        numbered = groups.withColumn("vec_id", number % (2 * vectors.agg(F.count("*")).scalar()))
+        return numbered.join(vectors.select("vec_id", "embedding"), "vec_id").withColumn(
+            "probability", models.context_similarity(F.col("embedding"), contexts[:N_POSITIVE], contexts[N_POSITIVE:])
+        )
+
+    return scan.Layers(classifier=scan.Classifier("similarity", add))
+
+
+@query
+def similarity_scan(spark, sf_dir):
+    """Blocks judged by the vectors of their string groups, by keyword signals where there is none."""
+    return _scanned(scan.scan(sources(spark, sf_dir), layers=_vectors_of(spark, sf_dir)))
+
+
+@query
+def similarity_gate(spark, sf_dir):
+    return risk.gate(sources(spark, sf_dir), layers=_vectors_of(spark, sf_dir))
+
+
+@query
+def train_group_classifier(spark, sf_dir):
+    """String groups of the labelled scenarios as training set; the model is saved, loaded and applied."""
+    examples = models.labelled_groups(scenarios(spark, sf_dir), F.col("is_secret").cast("int"))
+    weighted, _ = models.balanced(examples)
+    fitted = models.saved(models.train(examples, "group_text"), shared_dir(spark, "classifier"))
+    return models.probability_of(fitted)(weighted).select(
+        "group_key", "label", "weight", "group_size", F.size(F.filter(F.split("group_text", r"\s+"), lambda w: w != "")).cast("bigint").alias("n_tokens"),
+        F.col("probability").between(0, 1).alias("scored"),
+    )
+
+
 # --- false-positive rules ---------------------------------------------------
 
 FLAG_COLUMNS = (
@@ -388,7 +461,7 @@ def scan_documents(spark, sf_dir):
 @query
 def findings_report(spark, sf_dir):
     """Findings through the sink and back: one directory per severity."""
-    target = jobs.shared_dir(spark, "findings")
+    target = shared_dir(spark, "findings")
     write_findings(scan.report(sources(spark, sf_dir)), target)
     return spark.read.parquet(target).groupBy("severity", "rule_id").agg(
         F.count("*").alias("n"), F.max("combined_score").alias("max_score")
@@ -514,18 +587,18 @@ def stream_scan(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").schema
     supplied = as_sources(jobs.read_stream(spark, f"{sf_dir}/documents.parquet", documents))
     planted = planted_files(spark, sf_dir)
-    folder = jobs.shared_dir(spark, "planted")
+    folder = shared_dir(spark, "planted")
     planted.write.parquet(folder)
     arriving = supplied.unionByName(jobs.read_stream(spark, f"{folder}/*.parquet", planted.schema))
     found = scan.scan(arriving).select(*MATCH, "secret", "combined_score", "severity")
-    return jobs.drain(found, jobs.shared_dir(spark, "stream-scan"))
+    return jobs.drain(found, shared_dir(spark, "stream-scan"))
 
 
 def _arriving_history(spark, sf_dir):
     """The findings of the history, arriving as files."""
     columns = ("committed_at", "seq", "line_no", "rule_ord", *HISTORY, "combined_score", "severity")
     found = _history(spark, sf_dir).select(*columns)
-    target = jobs.shared_dir(spark, "history-findings")
+    target = shared_dir(spark, "history-findings")
     found.write.parquet(target)
     return jobs.read_stream(spark, f"{target}/*.parquet", found.schema)
 
@@ -533,12 +606,12 @@ def _arriving_history(spark, sf_dir):
 @query
 def stream_first_exposures(spark, sf_dir):
     stream = jobs.first_exposures(_arriving_history(spark, sf_dir))
-    found = jobs.drain_latest(stream, jobs.shared_dir(spark, "stream-first"), ("file_path", "secret"))
+    found = jobs.drain_latest(stream, shared_dir(spark, "stream-first"), ("file_path", "secret"))
     return found.select(*HISTORY, "combined_score", "seq")
 
 
 @query
 def stream_daily_counts(spark, sf_dir):
     stream = jobs.daily_counts(_arriving_history(spark, sf_dir))
-    found = jobs.drain_latest(stream, jobs.shared_dir(spark, "stream-daily"), ("day", "severity"))
+    found = jobs.drain_latest(stream, shared_dir(spark, "stream-daily"), ("day", "severity"))
     return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "severity", "n_findings", "max_score")

@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    without = {"train_text_classifier", "model_scores", "cv_metrics"}
+    without = {"train_text_classifier", "cv_metrics"}
     own = {name for name in set(queries) - set(oracles) if name != "pipeline" and not name.startswith("op")}
     assert own == without
 
