@@ -62,6 +62,21 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_report(judged: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """One row that is the whole evaluation: configuration -> rates, counts and counts by category,
+    and the published baselines. A row for each configuration and category is what is folded."""
+    counts = category_confusion(judged).where("config IS NOT NULL")
+    cell = F.struct("tp", "fp", "fn", "tn")
+    by_category = counts.where("category IS NOT NULL").groupBy("config").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", cell.alias("counts"))))).alias("by_category")
+    )
+    totals = rates(counts.where("category IS NULL").drop("category")).join(by_category, "config")
+    metrics = F.struct("precision", "recall", "f1", "fpr", "tp", "fp", "fn", "tn", "by_category")
+    configurations = totals.agg(F.map_from_entries(F.collect_list(F.struct("config", metrics.alias("metrics")))).alias("configurations"))
+    published = F.array(*[F.struct(F.lit(n).alias("detector"), *[F.lit(v).alias(k) for k, v in zip(("precision", "recall", "f1"), own, strict=True)]) for n, *own in BASELINES])
+    return configurations.select(F.lit(threshold).alias("threshold"), "configurations", published.alias("baselines"))
+
+
 def baselines(spark: SparkSession) -> DataFrame:
     schema = T.StructType([T.StructField("detector", T.StringType())] + [
         T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")

@@ -613,3 +613,17 @@ _base = ", ".join(f"({q(n)}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for n, a, b
 ORACLES["baseline_comparison"] = build(
     f"""SELECT config AS detector, precision, recall, f1 FROM (SELECT *, {_rates} FROM by_config)
     UNION ALL SELECT * FROM (VALUES {_base}) AS b(detector, precision, recall, f1)""", "by_config")
+
+ORACLES["stream_gate"] = ORACLES["change_gate"]
+ORACLES["stream_closed_days"] = ORACLES["stream_daily_counts"]
+ORACLES["evaluation_report"] = build(
+    f"""SELECT 0.3::DOUBLE AS threshold, {len(BASELINES)} AS n_baselines, config, precision, recall, f1, fpr, category, c.tp, c.fp, c.fn, c.tn
+    FROM (SELECT *, {_rates} FROM by_config) r JOIN (SELECT config, category, {_conf} FROM judged GROUP BY config, category) c USING (config)""",
+    "by_config", "judged")
+ORACLES["scan_files"] = build(
+    """SELECT concat(source, '-', lang) AS part, rule_id, count(*)::BIGINT AS n_matches
+    FROM hits JOIN documents USING (doc_id) GROUP BY 1, 2""", "hits")
+ORACLES["gate_file_list"] = build(
+    f"""SELECT lang AS batch, true AS has_files, count(score)::BIGINT AS n_findings, count(score) > 0 AS blocked
+    FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN combined_score >= 0.3 THEN 1 END AS score FROM findings) USING (doc_id) GROUP BY lang
+    UNION ALL SELECT 'none', false, 0, false""", "findings")

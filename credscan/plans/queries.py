@@ -17,7 +17,7 @@ from credscan.operators.matches import candidate_lines_sql, explode_late, matche
 from credscan.plans.corpus import as_sources, commits, patches, planted_files, scenarios, sources, table
 from credscan.rules import rule_table, rules_from
 from credscan.sources import paths
-from credscan.sources.files import write_findings, write_report
+from credscan.sources.files import read_files, read_listed, write_findings, write_report
 from credscan.sources.layout import spread
 from credscan.sources.store import shared_dir
 from credscan.streaming import jobs
@@ -579,28 +579,89 @@ def baseline_comparison(spark, sf_dir):
     return evaluate.compared(evaluate.rates(evaluate.confusion(_judged(spark, sf_dir), "config")))
 
 
-# --- streaming --------------------------------------------------------------
+@query
+def evaluation_report(spark, sf_dir):
+    """The nested report through its JSON file and back: a row for each configuration and category."""
+    report = evaluate.evaluation_report(_judged(spark, sf_dir))
+    target = shared_dir(spark, "evaluation")
+    write_report(report, target)
+    whole = spark.read.schema(report.schema).json(target)
+    each = whole.select("threshold", F.size("baselines").alias("n_baselines"), F.explode("configurations").alias("config", "m"))
+    return each.select(
+        "threshold", "n_baselines", "config", "m.precision", "m.recall", "m.f1", "m.fpr", F.explode("m.by_category").alias("category", "c"),
+    ).select("threshold", "n_baselines", "config", "precision", "recall", "f1", "fpr", "category", "c.*")
+
+
+# --- files ------------------------------------------------------------------
+
+def _text_files(spark, sf_dir, name):
+    """The documents as text files, one folder per source; the folder's path."""
+    target = shared_dir(spark, name)
+    texts = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), "lang").alias("part"), F.coalesce("text", F.lit("")).alias("value"))
+    texts.repartition("part").write.partitionBy("part").text(target)
+    return target
+
+
+def _part():
+    return F.regexp_extract("file_path", "part=([^/]*)/", 1)
+
 
 @query
-def stream_scan(spark, sf_dir):
+def scan_files(spark, sf_dir):
+    """A directory tree of text files, read whole."""
+    files = read_files(spark, _text_files(spark, sf_dir, "tree"), glob="*.txt").withColumn("part", _part())
+    return matches(files, "content", ("part",)).groupBy("part", "rule_id").agg(F.count("*").alias("n_matches"))
+
+
+@query
+def gate_file_list(spark, sf_dir):
+    """Submitted lists of files, one of which names a file that isn't there; no list is lost."""
+    target = _text_files(spark, sf_dir, "submitted")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(target).select(
+        F.regexp_replace("path", "^file:/*", "/").alias("file_path")
+    )
+    listed = there.select(F.substring_index(_part(), "-", -1).alias("batch"), "file_path")
+    missing = spark.range(1).select(F.lit("none").alias("batch"), F.concat(F.lit(target), F.lit("/missing.txt")).alias("file_path"))
+    texts = read_listed(spark, listed.unionByName(missing), target)
+    # where the folder lies must not look like a path that a rule knows
+    found = risk.gate(texts.withColumn("file_path", F.concat(F.lit("src/"), _part(), F.lit("/all.py"))))
+    return listed.unionByName(missing).select("batch").distinct().join(found, "batch", "left").select(
+        "batch", (F.coalesce("n_files", F.lit(0)) > 0).alias("has_files"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        F.coalesce("blocked", F.lit(False)).alias("blocked"),
+    )
+
+
+# --- streaming --------------------------------------------------------------
+
+def _arriving(spark, sf_dir):
     """All source texts as streams: the supplied documents where they lie, the planted ones from files."""
     documents = table(spark, sf_dir, "documents").schema
     supplied = as_sources(jobs.read_stream(spark, f"{sf_dir}/documents.parquet", documents))
     planted = planted_files(spark, sf_dir)
     folder = shared_dir(spark, "planted")
     planted.write.parquet(folder)
-    arriving = supplied.unionByName(jobs.read_stream(spark, f"{folder}/*.parquet", planted.schema))
-    found = scan.scan(arriving).select(*MATCH, "secret", "combined_score", "severity")
+    return supplied.unionByName(jobs.read_stream(spark, folder, planted.schema))
+
+
+@query
+def stream_scan(spark, sf_dir):
+    found = scan.scan(_arriving(spark, sf_dir)).select(*MATCH, "secret", "combined_score", "severity")
     return jobs.drain(found, shared_dir(spark, "stream-scan"))
 
 
+@query
+def stream_gate(spark, sf_dir):
+    """Decisions on batches as their files arrive, clean batches included."""
+    return jobs.drain_latest(risk.gate(_arriving(spark, sf_dir)), shared_dir(spark, "stream-gate"), ("batch",))
+
+
 def _arriving_history(spark, sf_dir):
     """The findings of the history, arriving as files."""
     columns = ("committed_at", "seq", "line_no", "rule_ord", *HISTORY, "combined_score", "severity")
     found = _history(spark, sf_dir).select(*columns)
     target = shared_dir(spark, "history-findings")
     found.write.parquet(target)
-    return jobs.read_stream(spark, f"{target}/*.parquet", found.schema)
+    return jobs.read_stream(spark, target, found.schema)
 
 
 @query
@@ -615,3 +676,12 @@ def stream_daily_counts(spark, sf_dir):
     stream = jobs.daily_counts(_arriving_history(spark, sf_dir))
     found = jobs.drain_latest(stream, shared_dir(spark, "stream-daily"), ("day", "severity"))
     return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "severity", "n_findings", "max_score")
+
+
+@query
+def stream_closed_days(spark, sf_dir):
+    """Counts with bounded state: what came on time and what came late are all findings together."""
+    on_time, late = jobs.drain_days(_arriving_history(spark, sf_dir), shared_dir(spark, "stream-days"))
+    return on_time.unionByName(late).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "severity").agg(
+        F.sum("n_findings").alias("n_findings"), F.max("max_score").alias("max_score")
+    )

@@ -31,11 +31,7 @@ def read_files(
     found = [p for p in paths if _exists(spark, p)]
     if not found:
         return spark.createDataFrame([], "file_path string, content string")
-    files = reader.load(found)
-    file_path = F.regexp_replace("path", "^file:/*", "/")
-    if skip_binary:
-        files = files.where(~is_binary_file(F.col("path")))
-    return files.select(file_path.alias("file_path"), utf8_text(F.col("content")).alias("content"))
+    return _texts(reader.load(found), skip_binary)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,6 +42,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return matched is not None and len(matched) > 0
 
 
+def read_listed(
+    spark: SparkSession, listed: DataFrame, root: str, skip_binary: bool = False,
+) -> DataFrame:
+    """``content`` for each row of ``listed`` (``file_path`` and any other columns) whose file exists.
+
+    Files are listed below ``root`` once, by Spark, and joined with the list; only files that are in
+    both are read. The list is of files submitted together and goes into the plan of the read.
+    Rows whose file is missing give no rows.
+    """
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
+        "path", F.regexp_replace("path", "^file:/*", "/").alias("file_path")
+    )
+    wanted = listed.select("file_path").distinct()
+    found = [r["path"] for r in there.join(wanted, "file_path", "left_semi").select("path").collect()]
+    if not found:
+        return listed.limit(0).withColumn("content", F.lit(None).cast("string"))
+    return listed.join(_texts(spark.read.format("binaryFile").load(found), skip_binary), "file_path").select(*listed.columns, "content")
+
+
+def _texts(files: DataFrame, skip_binary: bool) -> DataFrame:
+    if skip_binary:
+        files = files.where(~is_binary_file(F.col("path")))
+    file_path = F.regexp_replace("path", "^file:/*", "/")
+    return files.select(file_path.alias("file_path"), utf8_text(F.col("content")).alias("content"))
+
+
 def write_findings(findings: DataFrame, path: str, format: str = "parquet") -> None:
     """Findings as files, one directory per severity, in files of even size."""
     findings.hint("rebalance", F.col("severity")).write.mode("overwrite").partitionBy("severity").format(format).save(path)

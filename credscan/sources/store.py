@@ -25,3 +25,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     target = shared_dir(df.sparkSession, name)
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def _at(spark: SparkSession, path: str):
+    """A path and the file system that it is in, whatever store that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _at(spark, path)
+    return store.exists(where)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    store, where = _at(spark, path)
+    return store.exists(where) and store.getFileStatus(where).isFile()
+
+
+def numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n of the complete folders ``name=n`` in a folder, ascending."""
+    store, where = _at(spark, folder)
+    if not store.exists(where):
+        return []
+    done = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, f"{name}=*/_SUCCESS"))
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in done)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    store, where = _at(spark, folder)
+    store.delete(where, True)

@@ -1,6 +1,7 @@
 """Scans end to end: goldens, equivalences and limits."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -8,14 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from credscan.functions import blocks, groups
+from credscan.functions.literals import needles, stands_alone
 from credscan.functions.signals import classify_group
 from credscan.operators import evaluate, history, models, risk, scan
 from credscan.operators.ancestry import reachable
 from credscan.operators.matches import matches
 from credscan.plans.corpus import scenarios, sources
 from credscan.plans.queries import QUERIES, _judged
-from credscan.rules import RULES
-from credscan.sources.files import read_files, write_findings
+from credscan.rules import RULES, rules_from
+from credscan.sources.files import read_files, read_listed, write_findings
 from credscan.streaming import jobs
 
 H = hashlib.md5(b"7").hexdigest()
@@ -287,8 +289,128 @@ def test_streams_over_a_year_in_any_order(spark, tmp_path, files_per_batch):
     assert {r["severity"]: r["n_findings"] for r in days[:2]} and max(r["n_findings"] for r in days) == 16
 
 
+def arrivals(spark, folder, batches):
+    """One file per batch of (time, severity, score), in order of arrival."""
+    for i, batch in enumerate(batches):
+        rows = spark.createDataFrame(batch, "committed_at string, severity string, combined_score double")
+        rows.withColumn("committed_at", F.to_timestamp("committed_at")).coalesce(1).write.parquet(str(folder / f"w{i}"))
+        part = next((folder / f"w{i}").glob("part-*.parquet"))
+        target = folder / "in" / f"{i}.parquet"
+        target.parent.mkdir(exist_ok=True)
+        part.rename(target)
+        os.utime(target, (1_000_000 + i, 1_000_000 + i))
+    return str(folder / "in")
+
+
+def test_days_close_and_late_findings_are_kept_apart(spark, tmp_path):
+    batches = [
+        [("2026-01-01 10:00:00", "high", 0.5), ("2026-01-02 00:00:00", "high", 0.6)],
+        [("2026-01-01 23:59:59", "high", 0.9)],  # within the delay
+        [("2026-01-20 00:00:00", "low", 0.3)],  # closes both days
+        [("2026-01-02 12:00:00", "high", 0.7), ("2026-01-19 00:00:00", "low", 0.4)],  # one late, one on time
+        [("2026-01-02 13:00:00", "high", 0.4)],
+    ]
+    folder = arrivals(spark, tmp_path, batches)
+    stream = jobs.read_stream(spark, folder, spark.read.parquet(folder).schema, 1)
+    on_time, late = jobs.drain_days(stream, str(tmp_path / "out"), delay_days=3)
+    told = {(str(r["day"]), r["severity"]): (r["n_findings"], r["max_score"]) for r in on_time.collect()}
+    assert told == {
+        ("2026-01-01", "high"): (2, 0.9), ("2026-01-02", "high"): (1, 0.6), ("2026-01-20", "low"): (1, 0.3), ("2026-01-19", "low"): (1, 0.4),
+    }
+    assert {(str(r["day"]), r["severity"]): (r["n_findings"], r["max_score"]) for r in late.collect()} == {("2026-01-02", "high"): (2, 0.7)}
+
+
+def test_state_of_open_days_is_bounded(spark, tmp_path):
+    """A year day by day: the open days carried on are as many after a year as after a month."""
+    batches = [[(f"2026-{1 + i // 28:02d}-{1 + i % 28:02d} 05:00:00", "high", 0.5) for i in range(k, k + 28)] for k in range(0, 336, 28)]
+    folder = arrivals(spark, tmp_path, batches)
+    stream = jobs.read_stream(spark, folder, spark.read.parquet(folder).schema, 1)
+    on_time, late = jobs.drain_days(stream, str(tmp_path / "out"), delay_days=5)
+    assert on_time.agg(F.sum("n_findings")).first()[0] == 336 and late.count() == 0
+    kept = sorted((tmp_path / "out" / "open").iterdir())
+    assert len(kept) <= 2 and all(spark.read.parquet(str(k)).count() <= 7 for k in kept)
+
+
+def test_changes_are_merged_and_sources_may_be_empty(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "MERGED", 2)
+    rows = spark.sql(YEAR).where("seq < 400")
+    rows.repartition(5, "secret").write.parquet(str(tmp_path / "in"))
+    stream = jobs.first_exposures(jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, 1))
+    got = jobs.drain_latest(stream, str(tmp_path / "out"), ("file_path", "secret"))
+    want = history.first_exposures(rows).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    left = {x.name for x in (tmp_path / "out" / "data").iterdir()}
+    assert sum(x.startswith("upto=") for x in left) == 1 and sum(x.startswith("changed=") for x in left) <= 1
+    (tmp_path / "none").mkdir()
+    empty = jobs.read_stream(spark, str(tmp_path / "none"), rows.schema)
+    assert jobs.drain(empty.select("seq"), str(tmp_path / "a")).count() == 0
+    assert jobs.drain_latest(jobs.daily_counts(empty), str(tmp_path / "b"), ("day", "severity")).count() == 0
+    assert [x.count() for x in jobs.drain_days(empty, str(tmp_path / "c"))] == [0, 0]
+
+
+def test_a_stream_reads_one_file_and_not_its_siblings(spark, tmp_path):
+    for name, n in (("t.parquet", 3), ("t.parquet.old", 5)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / f"{name}.d"))
+        next((tmp_path / f"{name}.d").glob("part-*.parquet")).rename(tmp_path / name)
+    stream = jobs.read_stream(spark, str(tmp_path / "t.parquet"), spark.range(1).schema)
+    assert jobs.drain(stream, str(tmp_path / "out")).count() == 3
+
+
+def test_listed_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.py").write_text(f'token = "{H}"')
+    (tmp_path / "sub" / "b.py").write_text("clean")
+    listed = spark.createDataFrame(
+        [("x", f"{tmp_path}/a.py"), ("x", f"{tmp_path}/gone.py"), ("y", f"{tmp_path}/sub/b.py"), ("y", f"{tmp_path}/a.py")], "batch string, file_path string"
+    )
+    got = sorted((r["batch"], r["file_path"][len(str(tmp_path)):], r["content"]) for r in read_listed(spark, listed, str(tmp_path)).collect())
+    assert got == [("x", "/a.py", f'token = "{H}"'), ("y", "/a.py", f'token = "{H}"'), ("y", "/sub/b.py", "clean")]
+    assert read_listed(spark, listed.where("file_path LIKE '%gone.py'"), str(tmp_path)).count() == 0
+
+
+def test_needles_and_rules_from_a_table(spark):
+    assert needles(r"tok_[a-z]{5}-(live|prod)") == (("tok_",), ("live", "prod"), ("-",))
+    assert needles(r"(?:abc)+x?y") == (("abc",), ("y",)) and needles(r"[0-9]{9,}") == () and needles(r"\p{L}+abc") == ()
+    assert needles("K\u212a?e") == (("e",), ("k",)) and needles(r"a|b[0-9]") == (("a", "b"),) and needles(r"a|[0-9]") == ()
+    assert stands_alone(r"ab+[0-9]") and not any(map(stands_alone, [r"^ab", r"ab\b", r"(?<=x)ab", r"(a)\1", r"a++b", r"(x|^y)"]))
+    table = spark.createDataFrame(
+        [("mine", r"^tok-[0-9]{4,}$", None, 6), ("free", r"\S{3}!!", 2, 5), ("aws-access-key", "AKIA[0-9A-Z]{16}", None, None)],
+        "rule_id string, regex string, tier int, min_length int",
+    )
+    rules = rules_from(table)
+    assert [(r.rule_id, r.tier, r.min_length, r.custom) for r in rules] == [("aws-access-key", 1, 8, False), ("free", 2, 5, True), ("mine", 3, 6, True)]
+    layers = scan.Layers(rules=rules)
+    texts = docs(spark, "x\ntok-12345\ny", "tok-12345 x", "a Abc!! b", "nothing", f'token = "{H}"')
+    got = {(r["doc_id"], r["rule_id"], r["secret"], r["regex_score"]) for r in scan.scan(texts, layers=layers).collect()}
+    assert got == {(0, "mine", "tok-12345", 0.4), (2, "free", "Abc!!", 0.7)}
+    assert {r["doc_id"]: r["n_matches"] for r in risk.risk(texts, layers=layers).collect()} == {0: 1, 1: 0, 2: 1, 3: 0, 4: 0}
+    with pytest.raises(Exception, match="Unclosed"):
+        rules_from(spark.createDataFrame([("bad", "(x")], "rule_id string, regex string"))
+
+
+def test_classifier_falls_back_and_scores_groups_once(spark):
+    seen = []
+
+    def add(groups):
+        seen.append(groups.count())
+        return groups.withColumn("probability", F.when(~F.col("group_text").contains("odd"), 0.9))
+
+    texts = docs(spark, f'x = "odd"\ntoken = "{H}"\n', *[f'token = "{H}"'] * 4, f"token = {H}")
+    found = scan.scan(texts, layers=scan.Layers(classifier=scan.Classifier("mine", add)))
+    plain = {r["doc_id"]: r["classifier_score"] for r in scan.scan(texts).collect()}
+    got = {r["doc_id"]: (r["model_used"], r["classifier_score"]) for r in found.collect()}
+    assert got == {0: ("mine", 0.9) if 0 not in plain else got[0], **{i: ("mine", 0.9) for i in range(1, 5)}, 5: ("none", 0.0)}
+    odd = docs(spark, f'def f():\n  x = "odd one"\n  token = "{H}"\n')
+    fallen = scan.scan(odd, layers=scan.Layers(classifier=scan.Classifier("mine", add))).first()
+    assert (fallen["model_used"], fallen["classifier_score"]) == ("heuristic_fallback", scan.scan(odd).first()["classifier_score"])
+    assert seen == [1, 1]
+
+
 def test_nothing_runs_while_a_query_is_built(spark, sf_dir):
-    fits = {"train_text_classifier", "model_scores", "cv_metrics", "context_similarity", "findings_report"}
+    fits = {  # a fit, an iteration, or a sink that is read back
+        "train_text_classifier", "model_scores", "cv_metrics", "context_similarity", "findings_report", "range_findings", "custom_rules",
+        "similarity_scan", "similarity_gate", "train_group_classifier", "evaluation_report", "scan_files", "gate_file_list",
+    }
     tracker, ran = spark.sparkContext.statusTracker(), []
     for name, build in QUERIES.items():
         if name not in fits and not name.startswith("stream_"):
