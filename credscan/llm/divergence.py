@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credscan.llm.cluster import cut
+
 COMMON, RARE = 0.005, 0.001
 #: Greatest distances, and the sizes from which they are tested.
 MOST_CLASS, MOST_WORD = 0.25, 0.5
@@ -97,9 +99,10 @@ def references(docs: DataFrame) -> DataFrame:
     """Per language: share of each character class, and a map of its common words' shares."""
     texts = docs.select(F.coalesce("lang", F.lit(ALL)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = _classed(texts, "lang")
-    classes = sizes.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ["n_chars", *KINDS]])
+    # written, as filters on the language would be pushed below both counts and have texts counted once more
+    classes = cut(sizes.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ["n_chars", *KINDS]]))
     words = texts.select("lang", F.explode(F.split(F.lower("text"), _SPACE)).alias("word")).where("word <> ''")
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = cut(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     total = classes.select(F.sum("docs").alias("all_docs"))
     # a language's frequent words, and those frequent over all
