@@ -18,17 +18,20 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credscan.llm.words import mix, word_hashes
+from credscan.llm.words import word_hashes
 
 #: Pages that the labeller is fitted on, and the size that they have at most.
 SAMPLE, SAMPLE_CHARS = 160, 100_000
 PATH, WORD, HIDDEN = 384, 32, 16
+#: Under this salt all names of the lists below have places of their own.
+SALT = (176).to_bytes(4, "little")
 EPOCHS, BATCH, RATE = 50, 16, 0.02
 
 _BLOCK = frozenset(
@@ -37,7 +40,10 @@ _BLOCK = frozenset(
     "tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea noscript iframe template svg math object canvas title".split())
+#: Skipped up to their end tag. Without one, what follows a script or style is part of it; of the others only the tag goes.
+_RAW = frozenset("script style textarea noscript iframe template svg title".split())
+#: Read as if they were not there: what they hold is the page's own text.
+_CLEAR = frozenset("object canvas math".split())
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S,
@@ -99,11 +105,13 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if name in _CLEAR:
+            continue
         if name in _RAW and not closing:
-            if not attributes.endswith("/") or name not in ("svg", "math"):
+            if not attributes.endswith("/") or name != "svg":
                 lowered = lowered if lowered is not None else page.lower()
                 end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else _end(page, name, at)
-                at = len(page) if end < 0 else end
+                at = end if end >= 0 else len(page) if name in ("script", "style") else at
             if name in ("title",):
                 flush()
             continue
@@ -145,7 +153,7 @@ def _hash(name: str, cache: dict[str, int] = {}) -> int:  # noqa: B006
     if name not in cache:
         if len(cache) > 100_000:
             cache.clear()
-        cache[name] = int(mix(np.array([int.from_bytes(name.encode()[:64], "little") % (1 << 64)], np.uint64))[0] % PATH)
+        cache[name] = int.from_bytes(blake2b(name.encode(), digest_size=8, salt=SALT).digest(), "little") % PATH
     return cache[name]
 
 

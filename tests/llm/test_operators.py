@@ -297,6 +297,17 @@ def test_html_blocks():
     assert pages.blocks(page)[3].path == ["article", "p", "b"] or pages.blocks(page)[3].path == ["article", "p"]
     assert pages.blocks("") == [] and pages.blocks("<p>" * 1000) == [] and pages.blocks("<script>x") == []
 
+    def texts(page):
+        return [b.text for b in pages.blocks(page)]
+
+    # tags that are left open, or stand for other content, take no text with them
+    for tag in ("<object data=x>", "<canvas/>", "<iframe src=x>", "<noscript>", "<template>", "<svg>", "<textarea>", "<math>"):
+        assert texts(f"<article><p>one</p>{tag}<p>two</article>") == ["one", "two"]
+    assert texts("<p>E=<math><mi>m</mi></math> ok</p>") == ["E=m ok"]
+    assert texts("<p>a<object><p>b</p></object><iframe>c</iframe><svg><title>d</title></svg><canvas>e</canvas></p>") == ["a", "b", "e"]
+    names = {*pages.FURNITURE, *pages.CONTENT, *(f".{x}" for x in (*pages.NOISE, *pages.MAIN))}
+    assert len({pages._hash(x) for x in names}) == len(names)
+
 
 def test_labeller_gradients():
     rng = np.random.default_rng(2)
