@@ -348,6 +348,17 @@ def test_changes_are_merged_and_sources_may_be_empty(spark, tmp_path, monkeypatc
     assert [x.count() for x in jobs.drain_days(empty, str(tmp_path / "c"))] == [0, 0]
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_stream_gate_equals_gate(spark, sf_dir, tmp_path, files_per_batch):
+    files = sources(spark, sf_dir).where("doc_id % 2 = 0").repartition(4)
+    files.write.parquet(str(tmp_path / "in"))
+    arriving = jobs.read_stream(spark, str(tmp_path / "in"), files.schema, files_per_batch)
+    got = jobs.drain_latest(risk.gate(arriving), str(tmp_path / "out"), ("batch",))
+    want = risk.gate(files)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.where("NOT blocked").count() > 0 and got.where("blocked").count() > 0
+
+
 def test_a_stream_reads_one_file_and_not_its_siblings(spark, tmp_path):
     for name, n in (("t.parquet", 3), ("t.parquet.old", 5)):
         spark.range(n).coalesce(1).write.parquet(str(tmp_path / f"{name}.d"))
