@@ -152,6 +152,8 @@ def rules_fired(spark, line, secret, path="src/a.py", te=5.0):
     ('api. "XXXXXXXX"', "z" * 30, "", ["transition_entropy_below_threshold"], 0.85),
     ('api. "aaaaaaa"', "z" * 30, "", [], 0.0),
     ('api. " Admin "', "z" * 30, "", ["is_weak_default_password"], 0.85),
+    ("api.", "''", "", ["is_empty_string"], 0.95),
+    ("api.", '""', "", ["is_empty_string"], 0.95),
     ("short", "z" * 29, "", ["no_cloud_api_nearby"], 0.30),
     ("short", "z" * 30, "", [], 0.0),
 ])

@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,6 +418,31 @@ def test_classifier_falls_back_and_scores_groups_once(spark):
     assert seen == [1, 1]
 
 
+def test_training_on_groups_finds_the_minimum(spark, tmp_path):
+    """Weights of the fitted model beside Newton's method on the same features and objective."""
+    texts = [f'def f():\n  a = "{w} https"\n  token = "{H}"\n' for w in ("live charge", "live payment", "mock test", "test fixture", "mock live", "sample")]
+    rows = docs(spark, *texts).withColumn("label", F.col("doc_id").isin(0, 1, 4).cast("int"))
+    examples = models.labelled_groups(rows, F.col("label"))
+    assert examples.count() == 6 and {r["group_size"] for r in examples.collect()} == {2}
+    fitted = models.saved(models.train(examples, "group_text"), str(tmp_path / "model"))
+    weighted, n = models.balanced(examples)
+    plain = fitted.transform(weighted).select("features", "label", "weight", "probability").collect()
+    x = np.array([[*r["features"].toArray(), 1.0] for r in plain])
+    y, w = (np.array([r[c] for r in plain], float) for c in ("label", "weight"))
+    penalty = np.full(x.shape[1], 1 / (2.0 * n))
+    penalty[-1] = 0
+    beta = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ beta))
+        slope = x.T @ (w * (p - y)) / w.sum() + penalty * beta
+        curve = (x.T * (w * p * (1 - p))) @ x / w.sum() + np.diag(penalty) + 1e-12 * np.eye(len(beta))
+        beta -= np.linalg.solve(curve, slope)
+    want = 1 / (1 + np.exp(-x @ beta))
+    assert [r["probability"][1] for r in plain] == pytest.approx(want.tolist(), abs=2e-3)
+    found = models.probability_of(fitted, least_words=3)(examples).collect()
+    assert {(r["probability"] is None) for r in found} == {len(r["group_text"].split()) < 3 for r in found}
+
+
 def test_nothing_runs_while_a_query_is_built(spark, sf_dir):
     fits = {  # a fit, an iteration, or a sink that is read back
         "train_text_classifier", "model_scores", "cv_metrics", "context_similarity", "findings_report", "range_findings", "custom_rules",
