@@ -85,10 +85,12 @@ def linked(
     A list of one value may hold a third of all nodes, so pairs within a list are never all
     emitted. First a member meets the hub of each of its lists, its node of greatest weight (an
     original shares more values with others than its altered copies do), and the pair of best
-    score is confirmed. Then members outside their list's commonest component meet ``SAMPLED`` nodes
-    of that component, others in every list, and again the best pair is confirmed. At last members
-    outside a list's commonest component meet all members that are still in other components.
-    Pairs left out are in one component already, so the components are those of all pairs.
+    score is confirmed; the pairs of less score are kept for the end. So hubs have met all members
+    and leave their lists, and lists of two are done with. Then members outside their list's
+    commonest component meet ``SAMPLED`` nodes of that component, others in every list, and again
+    the best pair is confirmed. At last members outside a list's commonest component meet all
+    members that are still in other components, and so do the pairs kept. Pairs left out are in one
+    component already or may not hold, so the components are those of all pairs.
     """
     low, high = ratio
     fits = f"x.size * {high} >= y.size * {low} AND y.size * {high} >= x.size * {low}"
@@ -97,15 +99,27 @@ def linked(
         return members.alias("x").join(others.alias("y"), "value").where("x.root <> y.root").where(fits)
 
     members = index.withColumn("root", F.col("node"))
-    hubs = members.groupBy("value").agg(F.max(F.struct("weight", "node", "size", "root")).alias("hub")).select("value", "hub.*")
+    hubs = cut(
+        members.groupBy("value").agg(F.max(F.struct("weight", "node", "size", "root")).alias("hub"), F.count("*").alias("n"))
+        .select("value", "hub.*", "n")
+    )
     pairs = meet(members, hubs).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
-    best = screen(pairs).groupBy("x").agg(F.max_by("y", F.struct("score", "y")).alias("y"))
-    edges = cut(confirm(cut(best)))
+    able = cut(screen(pairs).select("x", "y", "score"))
+    best = cut(able.groupBy("x").agg(F.max_by("y", F.struct("score", "y")).alias("y")))
+    edges = cut(confirm(best))
     roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    able = able.join(best, ["x", "y"], "left_anti").select("x", "y")
+    longer = hubs.where("n > 2").select("value", F.col("node").alias("hub"))
+    rest = cut(index.join(longer, "value").where("node <> hub").select("value", "node", "size"))
+
+    def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
+        """``rows`` with the root of their column ``node``."""
+        known = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        return rows.join(known, node, "left").withColumn(root, F.coalesce(root, node))
 
     def apart() -> tuple[DataFrame, DataFrame, DataFrame]:
         """All members with their roots and the list's commonest root; those within it, those outside."""
-        members = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = rooted(rest, "node", "root")
         sizes = members.groupBy("value", "root").agg(F.count("*").alias("n"))
         common = sizes.groupBy("value").agg(F.max_by("root", F.struct("n", "root")).alias("common"))
         members = members.join(common, "value")
@@ -124,6 +138,9 @@ def linked(
 
     members, _, outside = apart()
     pairs = meet(members, outside).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
-    more = cut(confirm(cut(screen(pairs.distinct()).select("x", "y"))))
+    pairs = cut(pairs.distinct())  # frees what the lists were shuffled into before the pairs are screened
+    able = rooted(rooted(able, "x", "of_x"), "y", "of_y").where("of_x <> of_y")
+    able = able.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = cut(confirm(cut(screen(pairs).select("x", "y").union(able).distinct())))
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(more.select(F.col("x").alias("a"), F.col("y").alias("b")).union(known))

@@ -594,3 +594,28 @@ def test_repaired(spark):
         states = [1 + chat.ROLES.index(r["role"]) for r in own if r["action"] != "insert"]
         assert repair_cost([r[2] for r in mine], states) == best
     assert len(got) == len(source) and chat.repaired(table.limit(0)).count() == 0
+
+
+def test_edit_tests_of_line_dedup_equal_levenshtein(spark):
+    """The shortcuts before the edit distance lose no pair and let none in."""
+    draw, rows = random.Random(5), []
+    for _ in range(1500):
+        one = ["".join(draw.choices("abé", k=draw.randint(1, 4))) for _ in range(draw.randint(1, 9))]
+        two = list(one)
+        for _ in range(draw.randint(0, 3)):
+            at, kind = draw.randrange(len(two)), draw.random()
+            if kind < 0.35:
+                two.insert(at, "ab")
+            elif kind < 0.7 and len(two) > 1:
+                del two[at]
+            else:
+                two[at] = "".join(draw.choices("abé", k=draw.randint(1, 4)))
+        rows.append((" ".join(one), " ".join(two), draw.randint(0, 8)))
+    found = spark.createDataFrame(rows, "x string, y string, most int").select(
+        "*", line_dedup.close("x", "y", F.col("most")).alias("close"), F.expr("levenshtein(x, y) <= most").alias("wanted")
+    ).collect()
+    assert all(r["close"] == r["wanted"] for r in found)
+    assert any(r["wanted"] for r in found) and not all(r["wanted"] for r in found)
+    for r in found:
+        if r["wanted"]:
+            assert line_dedup.grams_apart(r["x"], r["y"], line_dedup.GRAM) <= line_dedup.GRAM * r["most"]
