@@ -75,12 +75,15 @@ def linked(
     ratio: tuple[int, int],
     screen: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame], DataFrame],
+    bound: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of the graph whose links ``confirm`` confirms: columns node, root.
 
     ``index`` has value, node, size, weight: two nodes are compared if they share a value and the
     smaller size is at least ratio[0]/ratio[1] of the larger. ``screen`` takes distinct pairs
     (x, y) and returns those that may hold with a column ``score``; ``confirm`` returns those that do.
+    ``bound``, for links that ask for a share ``ratio`` of the union of two sets of ``size`` elements,
+    takes nodes and returns for each the ``most`` elements that it has in common with others of them.
 
     A list of one value may hold a third of all nodes, so pairs within a list are never all
     emitted. First a member meets the hub of each of its lists, its node of greatest weight (an
@@ -89,7 +92,9 @@ def linked(
     and leave their lists, and lists of two are done with. Then members outside their list's
     commonest component meet ``SAMPLED`` nodes of that component, others in every list, and again
     the best pair is confirmed. At last members outside a list's commonest component meet all
-    members that are still in other components, and so do the pairs kept. Pairs left out are in one
+    members that are still in other components, and so do the pairs kept. With a ``bound`` only nodes
+    and pairs take part in these meetings that have enough in common with any other node still in them:
+    an altered copy whose alterations are its own and too many meets nobody. Pairs left out are in one
     component already or may not hold, so the components are those of all pairs.
     """
     low, high = ratio
@@ -137,6 +142,12 @@ def linked(
     roots = components(more.select(F.col("x").alias("a"), F.col("y").alias("b")).union(known))
 
     members, _, outside = apart()
+    if bound:
+        in_question = members.join(outside.select("value").distinct(), "value", "left_semi").select("node").distinct()
+        rest = cut(rest.join(bound(in_question), "node").where(f"most * {high} >= size * {low}"))
+        # the elements that both have are this share of both sizes together
+        fits += f" AND least(x.most, y.most) * {low + high} >= (x.size + y.size) * {low}"
+        members, _, outside = apart()
     pairs = meet(members, outside).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
     pairs = cut(pairs.distinct())  # frees what the lists were shuffled into before the pairs are screened
     able = rooted(rooted(able, "x", "of_x"), "y", "of_y").where("of_x <> of_y")

@@ -177,6 +177,27 @@ def test_near_duplicates_of_an_original_with_many_copies(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_a_group_with_few_links(spark):
+    """Most alterations are a copy's own, some are shared: the links left after an original's own are found."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        own = list(base)
+        for k in rng.sample(range(60), rng.randrange(1, 12)):
+            own[k] = f"c{i}x{k}" if i % 3 else f"s{k}"
+        texts.append(" ".join(own))
+    sets = [set(zip(w, w[1:], strict=False)) for w in map(str.split, texts)]
+    links = [(i, j) for i, j in itertools.combinations(range(90), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = plain_components(range(90), links)
+    assert 1 < len(set(root.values())) < 90
+    got = near_dup.near_duplicates(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]), 2).collect()
+    least = {}
+    for i in range(90):
+        least.setdefault(root[i], i)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[root[i]] for i in range(90)}
+
+
 def test_line_groups(spark, rows):
     rows = [(i, t, lang) for i, (_, t, lang) in enumerate(rows)]
     groups = line_dedup.line_groups(frame(spark, rows)).collect()
