@@ -276,6 +276,42 @@ def flags(
     ]
 
 
+#: Why a rule lowers a match's score, by its name and penalty.
+REASONS = {
+    FUNCTION_CALL: "the value is what a function returns",
+    VARIABLE_ASSIGNMENT: "the right side names a variable instead of a literal",
+    TEST_DIRECTORY: "the file is in a folder of tests",
+    README_FILE: "the file is documentation",
+    NUMERIC_ONLY: "a quoted value has digits only",
+    NULL_VALUE: "nothing is assigned: a null word or empty quotes",
+    CSS_SELECTOR: "the line has the shape of a style rule",
+    COMMENTED_OUT: "the line is a comment",
+    PLACEHOLDER: "the match, or a quoted value in it, is a known stand-in",
+    LOW_TRANSITION: "its pairs of characters repeat too often",
+    EMPTY_STRING: "the match is empty",
+    REPEATED_VALUE: "a quoted value repeats one or two characters",
+    NO_CLOUD_API: "no cloud service is named beside a short match",
+    WEAK_PASSWORD: "a quoted value is a common default password",
+}
+
+
+def reasons(rules_fired: Column, penalties: Column, transition: Column) -> Column:
+    """A sentence for each rule that fired, in their order, with the rule's penalty and, for bigram entropy, its bits.
+
+    Null where ``rules_fired`` is null, empty where no rule fired.
+    """
+    entries = [F.lit(x) for (name, penalty), why in REASONS.items() for x in (f"{name} {penalty}", why)]
+    bits = F.concat(F.lit(" ("), transition.cast("decimal(6,3)").cast("string"), F.lit(" bits)"))
+
+    def sentence(name: Column, penalty: Column) -> Column:
+        amount = penalty.cast("decimal(3,2)").cast("string")
+        key = F.concat(name, F.lit(" "), amount)
+        more = F.when(key == " ".join(LOW_TRANSITION), F.coalesce(bits, F.lit(""))).otherwise("")
+        return F.concat(F.lit("-"), amount, F.lit(": "), F.element_at(F.create_map(*entries), key), more)
+
+    return F.zip_with(rules_fired, penalties, sentence)
+
+
 def line_vetoed(facts: Column) -> Column:
     """Some rule that looks at the line alone vetoes every match on it."""
     return (

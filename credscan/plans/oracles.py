@@ -417,6 +417,20 @@ ORACLES["fp_flags"] = build(f"SELECT {M}, {', '.join(FLAG_COLUMNS)} FROM flags",
 ORACLES["suppressed_findings"] = build(
     f"""SELECT {M}, rules_fired, penalty::DOUBLE AS total_penalty, penalty >= 0.80 AS suppressed,
     (1.00 - penalty)::DOUBLE AS suppressor_score FROM l4 WHERE penalty >= 0.80""", "l4")
+
+
+def _fired(column: str, rule: tuple[str, str]) -> str:
+    name, amount = rule
+    bits = " || ' (' || CAST(CAST(transition AS DECIMAL(6,3)) AS VARCHAR) || ' bits)'" if rule == P.LOW_TRANSITION else ""
+    reason = q(f"-{amount}: {P.REASONS[rule]}") + bits
+    return f"CASE WHEN {column} THEN struct_pack(rule := {q(name)}, penalty := {amount}::DOUBLE, reason := {reason}) END"
+
+
+_every = ", ".join(_fired(c, r) for c, r in zip(FLAG_COLUMNS, _NAMED, strict=True))
+ORACLES["suppression_reasons"] = build(
+    f"""SELECT {M}, (i - 1)::INTEGER AS position, fired[i].rule AS rule, fired[i].penalty AS penalty, fired[i].reason AS reason
+    FROM (SELECT {M}, fired, unnest(range(1, len(fired) + 1)) AS i
+        FROM (SELECT {M}, list_filter([{_every}], lambda x: x IS NOT NULL) AS fired FROM flags))""", "flags")
 ORACLES["combined_scores"] = build(
     f"""SELECT {M}, regex_score, entropy_score, probability AS classifier_score,
     (1.00 - penalty)::DOUBLE AS suppressor_score, combined_score FROM findings""", "findings")

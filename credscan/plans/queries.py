@@ -403,6 +403,16 @@ def suppressed_findings(spark, sf_dir):
     return scan.keep_rows(rows, lambda r: r["suppressed"])
 
 
+@query
+def suppression_reasons(spark, sf_dir):
+    """One row per rule that fired on a match, in the order of the rules."""
+    rows = _features(spark, sf_dir).select("*", scan.rule_column("rule_id"))
+    why = P.reasons(F.col("l4.rules_fired"), F.col("l4.penalties"), F.col("l2.transition"))
+    fired = F.arrays_zip(F.col("l4.rules_fired").alias("rule"), F.col("l4.penalties").alias("penalty"), why.alias("reason"))
+    rows = rows.select(*MATCH, F.posexplode_outer(fired).alias("position", "f")).where(F.col("f").isNotNull())
+    return rows.select(*MATCH, F.col("position").cast("int").alias("position"), "f.rule", "f.penalty", "f.reason")
+
+
 # --- scores -----------------------------------------------------------------
 
 @query

@@ -178,3 +178,21 @@ def test_linear_time_on_very_long_words(spark):
 def test_quote_round_trip(spark):
     for x in ("it's", "a\\n", "${x} $y", "\\", "tab\t"):
         assert spark.range(1).select(F.expr(quote(x))).first()[0] == x
+
+
+def test_reasons_of_fired_rules(spark):
+    rows = [
+        (1, ["is_numeric_only", "transition_entropy_below_threshold"], [0.85, 0.80], 1.585),
+        (2, ["transition_entropy_below_threshold"], [0.85], 0.0),
+        (3, ["transition_entropy_below_threshold"], [0.80], None),
+        (4, [], [], 3.0),
+        (5, None, None, 3.0),
+    ]
+    df = spark.createDataFrame(rows, "id int, rules array<string>, penalties array<double>, te double")
+    got = {r["id"]: r["why"] for r in df.select("id", P.reasons(F.col("rules"), F.col("penalties"), F.col("te")).alias("why")).collect()}
+    low = f"-0.80: {P.REASONS[P.LOW_TRANSITION]}"
+    assert got == {
+        1: [f"-0.85: {P.REASONS[P.NUMERIC_ONLY]}", f"{low} (1.585 bits)"],
+        2: [f"-0.85: {P.REASONS[P.REPEATED_VALUE]}"], 3: [low], 4: [], 5: None,
+    }
+    assert all("." in penalty and why for (_, penalty), why in P.REASONS.items())

@@ -13,7 +13,7 @@ from tests.oracle_check import compare
 FAST = (
     "skip_paths", "explode_lines", "tiered_matches", "matches_by_rule", "high_entropy_strings",
     "transition_entropy", "string_literals", "urls", "block_context", "classified_groups", "stratified_folds",
-    "fp_flags", "scan_documents", "document_risk", "change_gate", "patch_added_lines", "first_exposures",
+    "fp_flags", "suppression_reasons", "scan_documents", "document_risk", "change_gate", "patch_added_lines", "first_exposures",
     "category_confusion", "scenario_outcomes", "detector_metrics", "stream_scan", "stream_first_exposures",
     "stream_daily_counts",
 )
