@@ -218,6 +218,13 @@ def test_line_groups(spark, rows):
     assert set(kept.values()) == {1} and set(kept) == {r["group"] for r in groups}
 
 
+def test_line_dedup_counts_the_words_of_every_text(spark):
+    docs = frame(spark, [(i, f"common w{i}", "en") for i in range(40)])
+    counted = Counter(line_dedup._levels(docs).tolist())
+    # a place may hold two words, so only the commonest word's level is sure
+    assert max(counted) == int(8 * math.log2(41)) and sum(n for level, n in counted.items() if level) >= 35
+
+
 def test_drop_lines(spark):
     line = "the quick brown fox jumps over the lazy dog and runs far away from here"
     near = line.replace("quick", "quicker")
