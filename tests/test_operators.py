@@ -238,6 +238,12 @@ def test_commit_range_over_merges(spark):
         history.commit_range(log, "c900", "c3")
 
 
+def test_recent_commits_scan_only_their_patches(spark, sf_dir):
+    plan = QUERIES["recent_commits"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    hits = plan.index("Generate explode")  # of matches; what it reads is further down
+    assert "LeftSemi" in plan[hits:] and "LeftSemi" not in plan[:hits]
+
+
 def test_files_and_findings_sink(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.py").write_bytes(b'\xfftoken = "' + H.encode() + b'"\n')
