@@ -13,7 +13,7 @@ from credscan.functions import groups as G
 from credscan.functions import signals as S
 from credscan.functions import suppress as P
 from credscan.functions.sqltext import quote
-from credscan.functions.text import folded_sql, split_lines, strip, utf8_text
+from credscan.functions.text import either, folded_sql, split_lines, strip, utf8_text
 
 BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029)
 SPACES = " \t\x1f\xa0" + chr(0x3000)
@@ -196,3 +196,17 @@ def test_reasons_of_fired_rules(spark):
         2: [f"-0.85: {P.REASONS[P.REPEATED_VALUE]}"], 3: [low], 4: [], 5: None,
     }
     assert all("." in penalty and why for (_, penalty), why in P.REASONS.items())
+
+
+def test_either_is_any_of(spark):
+    for patterns, lead, words in (
+        (P.PLACEHOLDER_SHAPES, "^", ("your", "-api", "key", "here", "xxx", "todo", "Mock", "put")),
+        (E.KNOWN_PLACEHOLDERS, "^", ("insert", "your", "-token", "abc", "password", "1", "Changeme", " ")),
+        (P.TEST_PATHS, r"[/\\]", ("/", "\\", "test", "tests", "mock", "spec", "-", "stub")),
+    ):
+        joined = either(patterns, lead)
+        assert joined.count(lead + "(") == 1  # one alternative at most places
+        rng = random.Random(3)
+        xs = ["".join(rng.choices(words, k=rng.randrange(6))) for _ in range(300)]
+        got = apply(spark, xs, lambda x: F.array(*[x.rlike("(?iud)" + p) for p in (joined, P.any_of(patterns))]))
+        assert all(a == b for a, b in got) and 0 < sum(a for a, _ in got) < len(xs)
