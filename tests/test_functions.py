@@ -8,12 +8,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from credscan.functions import blocks
 from credscan.functions import entropy as E
 from credscan.functions import groups as G
 from credscan.functions import signals as S
 from credscan.functions import suppress as P
 from credscan.functions.sqltext import quote
-from credscan.functions.text import either, folded_sql, split_lines, strip, utf8_text
+from credscan.functions.text import either, folded_sql, split_lines, strip, strip_value, utf8_text
+from credscan.operators import scan
 
 BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029)
 SPACES = " \t\x1f\xa0" + chr(0x3000)
@@ -210,3 +212,42 @@ def test_either_is_any_of(spark):
         xs = ["".join(rng.choices(words, k=rng.randrange(6))) for _ in range(300)]
         got = apply(spark, xs, lambda x: F.array(*[x.rlike("(?iud)" + p) for p in (joined, P.any_of(patterns))]))
         assert all(a == b for a, b in got) and 0 < sum(a for a, _ in got) < len(xs)
+
+
+def test_guards_leave_line_tests_as_they_were(spark):
+    """What is looked for first never ends a test that the expression alone would pass."""
+    words = ("password", "secret", "TOKEN", " = ", "=", ":", "(", ")", "null", "N" + chr(0x131) + "L", "None", "undefined", '""', "''",
+             "a", "cfg", ".", "[", "{", "}", ";", "@media ", "#", "def ", "class ", "function ", "\t", "\xa0", chr(0x3000), "12", chr(0x661))
+    rng = random.Random(11)
+    known = ["password = cfg(a)", "token = cfg.a", ".token {", "token = null", "pwd = ''", "def ", " def x", "\xa0 12 "]
+    xs = ["".join(rng.choices(words, k=rng.randrange(8))) for _ in range(600)] + known
+    got = apply(spark, xs, lambda x: F.array(
+        P.has_function_call(x), x.rlike(P.CALL),
+        P.is_variable_assignment(strip(x)), strip(x).rlike(P.REFERENCE) & ~strip(x).rlike(P.LITERAL_RIGHT_SIDE),
+        P.has_null_value(strip(x)), strip(F.regexp_extract(strip(x), P.RIGHT_SIDE, 1)).rlike(P.NULL_WORD),
+        P.is_css_selector(x), x.rlike("(?d)" + P.any_of(P.CSS_SHAPES)),
+        P.is_number(x), strip(x).rlike(r"(?d)^[\p{Nd}]+$"),
+        strip_value(x) == strip(x), F.lit(True),
+        # a line opens a block if its bounds begin with it though a line above is blank
+        G.blocks_around(F.array(F.lit("a"), F.lit(""), F.lit("b"), x, F.lit("c")), F.array(F.lit(5)))[0]["first"] == 4,
+        strip(x).rlike("^(?:" + "|".join(G.BLOCK_OPENERS) + ")"),
+    ))
+    for i in range(0, 14, 2):
+        assert all(g[i] == g[i + 1] for g in got) and any(g[i] for g in got), i
+
+
+def test_tests_on_matches_are_columns(spark):
+    """Lambdas are interpreted for each match; columns are evaluated by generated code, each once."""
+    texts = spark.createDataFrame([(1, "src/a.py", "x")], "doc_id long, file_path string, content string")
+    for found in (scan.report(texts), scan.scan(texts)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert all(f" AS {step}#" in plan for step in ("_bare", "_nonempty", "_te", "_fired"))
+
+
+def test_one_block_is_read_once_for_all_its_hits(spark):
+    """Many hits of one block: the same verdicts as by the way through all blocks."""
+    lines = ["def f():", 'a = "https://api.example.org"', 'token = "x1"', "b", 'password = "y22"']
+    rows = spark.createDataFrame([(lines,)], "lines array<string>")
+    bounds = F.array(*[F.struct(F.lit(1).alias("first"), F.lit(5).alias("last"))] * 3)
+    one, all_ = rows.select(blocks.block_verdicts(F.col("lines"), bounds), blocks._block_verdicts(F.col("lines"), bounds)).first()
+    assert one == all_ and len(one) == 3 and one[0]["string_group_size"] == 2
