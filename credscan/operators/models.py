@@ -125,12 +125,14 @@ def labelled_groups(df: DataFrame, label: Column, text: str = "content", path: s
 
     Columns group_key, group_text, group_size, label. A group that comes with both labels is an
     example of each; hits without literals or URLs around them teach nothing and are left out.
+    Training reads its examples several times, so they are written once and the texts scanned once.
     """
     rows = scan_contexts(prepared(df, text, path).withColumn("label", label), ("label",), candidate_lines_sql(text))
     rows = rows.where(F.size("string_group") > 0).select(
         "label", F.size("string_group").alias("group_size"), F.array_join("string_group", " ").alias("group_text"),
     ).withColumn("group_key", F.md5("group_text"))
-    return rows.groupBy("group_key", "label").agg(F.first("group_text").alias("group_text"), F.max("group_size").alias("group_size"))
+    groups = rows.groupBy("group_key", "label").agg(F.first("group_text").alias("group_text"), F.max("group_size").alias("group_size"))
+    return written(groups, "labelled-groups")
 
 
 def saved(model: PipelineModel, path: str) -> PipelineModel:

@@ -449,6 +449,15 @@ def test_training_on_groups_finds_the_minimum(spark, tmp_path):
     assert {(r["probability"] is None) for r in found} == {len(r["group_text"].split()) < 3 for r in found}
 
 
+def test_texts_are_scanned_once_for_training(spark):
+    """Training reads its examples several times; what it reads are the groups, not the texts again."""
+    rows = docs(spark, f'def f():\n  a = "live charge"\n  token = "{H}"\n', f'x = "mock test"\ntoken = "{H}"\n').withColumn("label", F.lit(1))
+    examples = models.labelled_groups(rows, F.col("label"))
+    plan = examples._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "parquet" in plan
+    assert examples.columns == ["group_key", "label", "group_text", "group_size"] and examples.count() > 0
+
+
 def test_nothing_runs_while_a_query_is_built(spark, sf_dir):
     fits = {  # a fit, an iteration, or a sink that is read back
         "train_text_classifier", "model_scores", "cv_metrics", "context_similarity", "findings_report", "range_findings", "custom_rules",
