@@ -251,3 +251,12 @@ def test_one_block_is_read_once_for_all_its_hits(spark):
     bounds = F.array(*[F.struct(F.lit(1).alias("first"), F.lit(5).alias("last"))] * 3)
     one, all_ = rows.select(blocks.block_verdicts(F.col("lines"), bounds), blocks._block_verdicts(F.col("lines"), bounds)).first()
     assert one == all_ and len(one) == 3 and one[0]["string_group_size"] == 2
+
+
+def test_bindings_do_not_take_elements_of_transformed_arrays(spark):
+    """Taking such an element derives the type of all that is bound, in every row."""
+    rows = spark.createDataFrame([("x = 'https://api.example.org'",), (None,)], "x string")
+    scores = rows.select(S.signal_score(F.col("x")).alias("p"))
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "transform(" not in plan
+    assert [r["p"] for r in scores.collect()] == [0.58, 0.5]
