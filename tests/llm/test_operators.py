@@ -281,6 +281,60 @@ def test_fuzzy_lines_against_edit_similarity(spark):
     assert len(set(groups.values())) == len(set(whole.values()))  # nothing else is linked
 
 
+def test_lists_are_dealt_in_shares_and_give_every_close_pair():
+    """Each pass takes its share of the values; together they give the pairs that brute force gives, copies of one line aside."""
+    rng = np.random.default_rng(3)
+    marks = rng.integers(0, 256, (60, 32)).astype(np.uint8)
+    marks[30:] = marks[:30]
+    marks[30:, :10] ^= rng.integers(0, 256, (30, 10)).astype(np.uint8) & 0x11
+    size = np.tile(rng.integers(30, 90, 30), 2)
+    rare = [[int(k) % 7, 100 + int(k) % 3] for k in np.tile(np.arange(30), 2)]
+    columns = [pa.array(range(60)), pa.array(size), *map(pa.array, marks.view(np.int64).T), pa.array(rare, pa.list_(pa.int64()))]
+    batch = pa.record_batch(columns, ["node", "size", *line_dedup.SIMHASH, "rare"])
+    shares = [list(line_dedup._entries(iter([batch]), k)) for k in range(line_dedup.PASSES)]
+    dealt = [sum(b.num_rows for b in share) for share in shares]
+    assert sum(dealt) == 60 * (line_dedup.BLOCKS + 2) and max(dealt) < 0.5 * sum(dealt)
+    got = {(r["x"], r["y"]) for share in shares for b in line_dedup._meetings(iter(share), False) for r in b.to_pylist()}
+    far = np.unpackbits(marks[:, None] ^ marks[None], axis=2).sum(2)
+    assert got == {
+        (i, j) for i, j in itertools.combinations(range(60), 2)
+        if far[i, j] <= line_dedup.FAR and 10 * min(size[i], size[j]) >= 9 * max(size[i], size[j]) and set(rare[i]) & set(rare[j])
+    }
+    assert len(got) >= 30 and not list(line_dedup._meetings(iter([]), False))
+
+
+def test_middles():
+    draw = random.Random(1)
+    for _ in range(3000):
+        x, y = (" ".join(draw.choices(["a", "bb", "abc", "b"], k=draw.randint(1, 7))) for _ in range(2))
+        own, other, cost = line_dedup.middles(x, y)
+        assert edits(own, other) == edits(x, y) <= cost
+
+
+def test_lines_of_a_large_group_with_few_links(spark):
+    """Copies of one line, so many that a list meets its leaders first, and copies too far from all but one another."""
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(40)]
+
+    def altered(words, n):
+        words = list(words)
+        for k in rng.sample(range(40), n):
+            words[k] = "".join(rng.choices("0123456789", k=5))
+        return words
+
+    lines = [base, *(altered(base, rng.randint(1, 4)) for _ in range(230))]
+    far = [altered(base, 9) for _ in range(6)]
+    lines += [x for one in far for x in (one, altered(one, 1))]
+    batch = pa.record_batch([pa.array(range(243)), pa.array([0] * 243), pa.array([" ".join(x) for x in lines])], ["doc_id", "text_hash", "text"])
+    found = pa.Table.from_batches(line_dedup._lines(iter([batch]), np.zeros(1 << line_dedup.PLACE_BITS, np.uint8)))
+    entries = found.append_column("node", found["doc_id"]).combine_chunks().to_batches()
+    met = [pa.Table.from_batches(line_dedup._meetings(line_dedup._entries(iter(entries), k), False)) for k in range(line_dedup.PASSES)]
+    assert sum(t["value"].length() - t["value"].null_count for t in met) > 200  # some lists are left to a second meeting
+    groups = {r["doc_id"]: r["group"] for r in line_dedup.line_groups(frame(spark, [(i, " ".join(x), "en") for i, x in enumerate(lines)])).collect()}
+    assert len({groups[i] for i in range(231)}) == 1 and len(set(groups.values())) == 7
+    assert all(groups[i] == groups[i + 1] for i in range(231, 243, 2))
+
+
 def test_rarest_words():
     """Lines that differ in ``changes`` words share one of their rarest, whatever the order of words is."""
     rng = np.random.default_rng(4)
