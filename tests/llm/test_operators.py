@@ -335,6 +335,51 @@ def test_lines_of_a_large_group_with_few_links(spark):
     assert all(groups[i] == groups[i + 1] for i in range(231, 243, 2))
 
 
+def test_pairs_of_two_components_are_confirmed_by_the_closest_one(spark, monkeypatch):
+    """Of the pairs of a group in a few components only some have their edit distance taken."""
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(40)]
+    lines = []
+    for _ in range(10):
+        one = list(base)
+        one[rng.randrange(40)] = "".join(rng.choices("0123456789", k=5))
+        for _ in range(6):
+            lines.append(list(one))
+            lines[-1][rng.randrange(40)] = "".join(rng.choices("0123456789", k=5))
+    lines.append([base[0], *("".join(rng.choices("klmnopqrst", k=5)) for _ in range(39))])
+    written = []
+
+    def counted(df, cut=line_dedup.cut):
+        df = cut(df)
+        written.append((df.columns, df.count()))
+        return df
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    groups = {r["doc_id"]: r["group"] for r in line_dedup.line_groups(frame(spark, [(i, " ".join(x), "en") for i, x in enumerate(lines)])).collect()}
+    assert len({groups[i] for i in range(60)}) == 1 and groups[60] != groups[0]
+    assert sum(n for columns, n in written if columns == ["x", "y", "far"]) > 1000 > 2 * sum(n for columns, n in written if columns == ["x", "y"])
+
+
+@pytest.mark.parametrize("steps", [3, 32])
+def test_edits_within(monkeypatch, steps):
+    """Edit distances of whole batches are those of brute force, for texts of all lengths, also outside the basic plane."""
+    monkeypatch.setattr(line_dedup, "STEPS", steps)
+    draw, rows = random.Random(9), [("", "", 0), ("", "ab", 1), ("", "ab", 2), ("😀a", "a", 1), ("😀", "😁", 0)]
+    for k in range(1500):
+        letters = "abé😀" if k < 300 else "abé"
+        one = draw.choices(letters, k=draw.randint(0, 60 if k % 9 == 0 else 20))
+        two = list(one)
+        for _ in range(draw.randint(0, 6)):
+            at, kind = draw.randint(0, len(two)), draw.random()
+            two[at : at + (kind > 0.3)] = draw.choices(letters, k=kind < 0.7)
+        rows.append(("".join(one), "".join(two), draw.randint(0, 9)))
+    for part in (rows, rows[300:], rows[:0]):
+        x, y, most = ([r[i] for r in part] for i in range(3))
+        got = line_dedup.edits_within(pa.array(x, pa.string()), pa.array(y, pa.string()), np.array(most, np.int32))
+        assert got.tolist() == [edits(a, b) <= n for a, b, n in part]
+    assert got.size == 0
+
+
 def test_rarest_words():
     """Lines that differ in ``changes`` words share one of their rarest, whatever the order of words is."""
     rng = np.random.default_rng(4)
